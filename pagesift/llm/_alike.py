@@ -7,6 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagesift.llm._chars import bare, code_points, mix, rolling
 
@@ -35,7 +36,7 @@ def share_in_both(a: str | None, b: str | None) -> float:
     return both / max(1, x.size + y.size - both)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _share_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([share_in_both(x, y) for x, y in zip(a, b)], dtype="float64")
 
