@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagesift.llm import near_duplicates
+from pagesift.llm import history, near_duplicates
 from pagesift.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeats(table(spark, sf_dir, "ledger_entry")).select("entry_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.alike_entries(table(spark, sf_dir, "ledger_entry"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p4_found": p4_found,
     }
 
