@@ -5,25 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagesift.llm import history, near_duplicates
+from pagesift.llm import contributor_cap, history, leximin, near_duplicates
 from pagesift.session import table
 
 
+P3_FOUND = r"""
+with item as (
+  select distinct i.batch_id, i.item_id, i.score, b.host_cap,
+    regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(trim(i.url, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))), '^[a-z][a-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[^:]*$', ''), '^www\.', '') as host
+  from fetched_item i join search_batch b using (batch_id)
+), placed as (
+  select *, row_number() over (partition by batch_id, host order by case when isnan(score) then null else score end desc nulls last, item_id) as r
+  from item where host <> ''
+)
+select distinct item_id from placed where r > host_cap
+"""
+
+P5_LEXIMIN = """
+with long as (
+  select query, eval_id, unnest([1, 2, 3]) as c, unnest([authority, coverage, rel]) as v from eval_item where query is not null
+), present as (
+  select * from long where v is not null and not isnan(v) and v <> -1
+), shares as (
+  select query, c, v, (2 * sum(count(*)) over (partition by query, c order by v) - count(*)) / (2 * sum(count(*)) over (partition by query, c)) as p
+  from present group by query, c, v
+), placed as (
+  select l.query, l.eval_id, coalesce(s.p, 0.0) as p from long l left join shares s on l.query = s.query and l.c = s.c and l.v = s.v
+), vectors as (
+  select query, eval_id, list_sort(list(p)) as ps from placed group by query, eval_id
+)
+select query, eval_id, ps[1] as p1, ps[2] as p2, ps[3] as p3,
+  row_number() over (partition by query order by ps[1] desc, ps[2] desc, ps[3] desc, eval_id) as rank
+from vectors
+"""
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(table(spark, sf_dir, "ledger_entry")).select("entry_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "fetched_item").select("batch_id", contributor_cap.host().alias("host"), "item_id", "score")
+    capped = items.join(table(spark, sf_dir, "search_batch").select("batch_id", "host_cap"), "batch_id")
+    return contributor_cap.over_cap(capped, ["batch_id", "host"], "host_cap", "item_id", "score").select("item_id").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.alike_entries(table(spark, sf_dir, "ledger_entry"))
 
 
+def p5_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leximin.leximin(table(spark, sf_dir, "eval_item"), "query", "eval_id", ["authority", "coverage", "rel"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p3_found": p3_found,
         "p4_found": p4_found,
+        "p5_leximin": p5_leximin,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND, "p5_leximin": P5_LEXIMIN}
