@@ -14,7 +14,7 @@ from pagesift.session import table
 P3_FOUND = r"""
 with item as (
   select distinct i.batch_id, i.item_id, i.score, b.host_cap,
-    regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(trim(i.url, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))), '^[a-z][a-z0-9+.-]*://([^/?#\\]*)', 1), '^.*@', ''), ':[^:]*$', ''), '^www\.', '') as host
+    regexp_replace(regexp_replace(regexp_replace(regexp_extract(lower(trim(i.url, ' ' || chr(9) || chr(10) || chr(13) || chr(12288))), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[^:]*$', ''), '^www\.', '') as host
   from fetched_item i join search_batch b using (batch_id)
 ), placed as (
   select *, row_number() over (partition by batch_id, host order by case when isnan(score) then null else score end desc nulls last, item_id) as r
