@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import contributor_cap, history, leximin, near_duplicates
-from pagesift.session import table
+from pagesift.llm import contamination, contributor_cap, history, leximin, mixture, near_duplicates
+from pagesift.session import table, written
 
 
 P3_FOUND = r"""
@@ -23,6 +24,19 @@ with item as (
 select distinct item_id from placed where r > host_cap
 """
 
+P7_FOUND = r"""
+with item as (
+  select distinct item_id, regexp_replace(lower(translate(passage, WIDE, NARROW)), '[^\p{L}\p{Nd}\p{Nl}\p{No}]', '', 'g') as t from bench_item
+), runs as (
+  select distinct item_id, substr(t, i::bigint, 50) as run from item, unnest(range(1, length(t) - 48)) as u(i)
+), doc as (
+  select doc_id, regexp_replace(lower(translate(text, WIDE, NARROW)), '[^\p{L}\p{Nd}\p{Nl}\p{No}]', '', 'g') as t from documents
+), own as (
+  select doc_id, substr(t, i::bigint, 50) as run from doc, unnest(range(1, length(t) - 48)) as u(i)
+)
+select distinct item_id, doc_id from own join runs using (run)
+""".replace("WIDE", "'" + "".join(map(chr, [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)])) + "'").replace("NARROW", "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'")
+
 P5_LEXIMIN = """
 with long as (
   select query, eval_id, unnest([1, 2, 3]) as c, unnest([authority, coverage, rel]) as v from eval_item where query is not null
@@ -60,14 +74,39 @@ def p5_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin.leximin(table(spark, sf_dir, "eval_item"), "query", "eval_id", ["authority", "coverage", "rel"])
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_item"))
+    return found.where(F.col("run") >= contamination.LEAST_RUN).select("item_id", "doc_id")
+
+
+def _vocabulary() -> str:
+    return os.environ.get("PAGESIFT_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counted = written(mixture.token_counts(table(spark, sf_dir, "documents"), _vocabulary()), "tokens")
+    return mixture.mix_sources(counted, table(spark, sf_dir, "source_mix"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_leximin": p5_leximin,
+        "p7_found": p7_found,
+        "p8_mixture": p8_mixture,
+        "p8_shares": p8_shares,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p5_leximin": P5_LEXIMIN}
+    return {"p3_found": P3_FOUND, "p5_leximin": P5_LEXIMIN, "p7_found": P7_FOUND}
