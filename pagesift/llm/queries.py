@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import contamination, contributor_cap, history, leximin, mixture, near_duplicates
+from pagesift.llm import contamination, contributor_cap, encoding, history, leximin, mixture, near_duplicates
 from pagesift.session import table, written
 
 
@@ -74,6 +74,14 @@ def p5_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin.leximin(table(spark, sf_dir, "eval_item"), "query", "eval_id", ["authority", "coverage", "rel"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(table(spark, sf_dir, "ledger_entry")).select("entry_id").distinct()
+
+
+def p6_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.garbled(table(spark, sf_dir, "ledger_entry"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_item"))
     return found.where(F.col("run") >= contamination.LEAST_RUN).select("item_id", "doc_id")
@@ -102,6 +110,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_leximin": p5_leximin,
+        "p6_found": p6_found,
+        "p6_restored": p6_restored,
         "p7_found": p7_found,
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
