@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import contamination, contributor_cap, encoding, history, leximin, mixture, near_duplicates
+from pagesift.llm import contamination, contributor_cap, encoding, history, leximin, link_spam, mixture, near_duplicates
 from pagesift.session import table, written
 
 
@@ -104,6 +104,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_spam.stuffed(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -115,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found,
         "p8_mixture": p8_mixture,
         "p8_shares": p8_shares,
+        "p9_found": p9_found,
     }
 
 
