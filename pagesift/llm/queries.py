@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import contamination, contributor_cap, encoding, history, leximin, link_spam, mixture, near_duplicates
+from pagesift.llm import contamination, contributor_cap, encoding, history, leximin, link_spam, mixture, near_duplicates, residue
 from pagesift.session import table, written
 
 
@@ -60,6 +60,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.repeats(table(spark, sf_dir, "ledger_entry")).select("entry_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "ledger_entry")).select("entry_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "fetched_item").select("batch_id", contributor_cap.host().alias("host"), "item_id", "score")
     capped = items.join(table(spark, sf_dir, "search_batch").select("batch_id", "host_cap"), "batch_id")
@@ -111,6 +115,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
+        "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p5_leximin": p5_leximin,
