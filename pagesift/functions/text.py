@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,10 +265,11 @@ def _main_text(page: pd.Series) -> pd.Series:
     return page.map(main_text)
 
 
-def extracted(page: Column | str, url: Column | str, least: int = 30) -> Column:
-    """Text of a page under its source header (Q12); null for a block page or one with little text.
+def with_extracted(pages: DataFrame, page: str = "page", url: str = "url", out: str = "text", least: int = 30) -> DataFrame:
+    """Add the text of each page under its source header (Q12); null for a block page or one with little text.
 
     The contract of this extractor is its own: blocks without hidden elements, navigation and link lists.
     """
-    t = without_citations(without_footer(_main_text(_c(page))))
-    return F.when(~block_page(t) & (F.length(t) > least), F.concat(F.lit("## 来源: "), _c(url), F.lit("\n\n"), t))
+    parsed = pages.withColumn("_t", _main_text(page))
+    cleaned = let(without_citations(without_footer("_t")), lambda t: F.when(~block_page(t) & (F.length(t) > least), F.concat(F.lit("## 来源: "), F.col(url), F.lit("\n\n"), t)))
+    return parsed.withColumn(out, cleaned).drop("_t")

@@ -64,8 +64,8 @@ def leave_one_out(rows: DataFrame, weights: list[tuple[float, float, float]], ga
     placed = scored.withColumn("r", F.row_number().over(Window.partitionBy("w", "query").orderBy(F.desc("s"), "eval_id"))).where("r <= 5")
     # sums per domain; what is left out is subtracted from the whole
     sums = placed.groupBy("domain", "w").agg(F.sum("rel").alias("x"), F.count(F.lit(1)).alias("n"))
-    whole = sums.groupBy("w").agg(F.sum("x").alias("X"), F.sum("n").alias("N"))
-    both = sums.join(whole, "w").select("domain", "w", F.round(F.try_divide(F.col("X") - F.col("x"), F.col("N") - F.col("n")), 6).alias("others"), F.round(F.col("x") / F.col("n"), 6).alias("own"))
+    whole = sums.groupBy("w").agg(F.sum("x").alias("all_x"), F.sum("n").alias("all_n"))
+    both = sums.join(whole, "w").select("domain", "w", F.round(F.try_divide(F.col("all_x") - F.col("x"), F.col("all_n") - F.col("n")), 6).alias("others"), F.round(F.col("x") / F.col("n"), 6).alias("own"))
     best = both.groupBy("domain").agg(F.max_by(F.struct("w", "others", "own"), F.struct(F.coalesce("others", F.lit(-1.0)), -F.col("w"))).alias("b"), F.max("own").alias("_top"))
     return best.select("domain", "b.w", "b.others", "b.own", (F.col("_top") - F.col("b.own") <= gap).alias("stable"))
 

@@ -24,7 +24,7 @@ IDLE_DAYS = 30
 def cleaned(observations: DataFrame) -> DataFrame:
     """Observations once each (whole rows may come twice), by the key of their host; those without a host are left out."""
     score = F.when(~F.isnan("score"), F.col("score"))
-    return observations.select("obs_id", learner_host("host").alias("host"), F.coalesce("fetch_ok", F.lit(False)).alias("fetch_ok"), score.alias("score"), F.coalesce(F.col("template_hit") | F.col("garbled_hit"), F.lit(False)).alias("bad"), F.when(F.col("latency") > 0, F.col("latency")).alias("latency"), "observed_at").where("host != ''").dropDuplicates(["obs_id"])
+    return observations.select("obs_id", learner_host("host").alias("host"), F.coalesce("fetch_ok", F.lit(False)).alias("fetch_ok"), score.alias("score"), F.coalesce(F.col("template_hit") | F.col("garbled_hit"), F.lit(False)).alias("bad"), F.when(F.col("latency") > 0, F.col("latency")).alias("latency"), F.col("observed_at").cast("timestamp").alias("observed_at")).where("host != ''").dropDuplicates(["obs_id"])
 
 
 def judge(n: Column, ok: Column, score_sum: Column, low: Column, lat_sum: Column, lat_n: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagesift.config import Config
 from pagesift.functions import dates, relevance, text, urls
 from pagesift.operators import dedup, learning, ranking
+from pagesift.session import written
 
 
 def deep_search(items: DataFrame, batches: DataFrame, candidates: DataFrame, ledger: DataFrame, stats: DataFrame, as_of: str, config: Config = Config()) -> DataFrame:
@@ -26,6 +27,8 @@ def deep_search(items: DataFrame, batches: DataFrame, candidates: DataFrame, led
     pages = ranking.first_rows(items.where(F.col("url").isNotNull()).select("item_id", "batch_id", "pos", "url", "page_title", "text"), ["batch_id", "url"], ["pos", "item_id"])
     known = learning.with_delta(pages, stats, urls.host_of("url"))
     scored = known.withColumn("score", text.content_score("text", "url", text.host_weight("url", F.col("delta")))).where(F.col("score") >= config.least_score)
+    # scores are used by several stages, and are dear: computed once and kept
+    scored = written(scored, "scored")
     fresh = dedup.known_pages(scored.withColumn("nurl", urls.comparable("url")), ledger).where("known_round is null").drop("nurl", "known_round", "delta")
     asked = fresh.join(batches.select("batch_id", "query"), "batch_id").join(hit, ["batch_id", "url"], "left")
     hay = relevance.haystack("page_title", "text")
@@ -33,8 +36,9 @@ def deep_search(items: DataFrame, batches: DataFrame, candidates: DataFrame, led
     marked = gated.withColumns({
         "weak_core": relevance.front_hits("page_title", "text", "query") < config.least_front_hits, "authority": text.authority("url", "text"), "date": dates.best_date("hit_date", "text", as_of),
     }).drop("hit_title", "hit_date", "query")
+    marked = written(marked, "marked")
     covered = marked.join(ranking.coverage(marked, batches), ["batch_id", "pos"])
-    ranked = covered.withColumn("rank_score", ranking.rank_score(F.col("score"), F.col("authority"), F.col("coverage"), F.col("weak_core")))
+    ranked = written(covered.withColumn("rank_score", ranking.rank_score(F.col("score"), F.col("authority"), F.col("coverage"), F.col("weak_core"))), "ranked")
     light = ranking.zero_coverage_gate(ranked.drop("text"), config.gate_least_items, config.gate_least_kept).drop("rank").join(ranked.select("batch_id", "pos", "text"), ["batch_id", "pos"])
     clusters = dedup.cluster_batch(light.select("batch_id", "pos", "text"), config.similar, config.hamming)
     kept = light.join(clusters.where("keep").select("batch_id", "pos"), ["batch_id", "pos"])

@@ -22,7 +22,7 @@ def host_updates(observations: DataFrame, watermark: str = WATERMARK) -> DataFra
     than the watermark are dropped, repeated ones within it are ignored. Within a micro-batch the rows of a host are folded
     in event time.
     """
-    rows = observations.withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["obs_id"]).select(
+    rows = observations.withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", watermark).dropDuplicatesWithinWatermark(["obs_id"]).select(
         learner_host("host").alias("host"), F.coalesce("fetch_ok", F.lit(False)).alias("fetch_ok"), F.when(~F.isnan("score"), F.col("score")).alias("score"),
         F.coalesce(F.col("template_hit") | F.col("garbled_hit"), F.lit(False)).alias("bad"), F.when(F.col("latency") > 0, F.col("latency")).alias("latency"), F.col("observed_at").cast("double").alias("at"), "obs_id",
     ).where("host != ''")
