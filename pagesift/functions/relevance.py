@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagesift import tables
 from pagesift.functions.text import HAN, han_share, stripped, without_header
-from pagesift.functions.urls import _c, path_of
+from pagesift.functions.urls import _c, let, path_of
 
 SEPARATORS = r"(?U)[\s,，、;；]+"
 WORD_BREAKS = r"[^\p{L}\p{N}\p{M}_]+"
@@ -54,21 +54,27 @@ def words_in(hay: Column) -> Column:
 
 def overlap(hay: Column, query: Column | str) -> Column:
     """Longest part of the query in the text (V1): substring of its Chinese runs, or whole Latin word."""
-    runs, words = han_runs(query), latin_words(query)
+    return let(F.struct(hay.alias("hay"), han_runs(query).alias("runs"), latin_words(query).alias("words"), fragments(query).alias("parts")), _overlap)
+
+
+def _overlap(x: Column) -> Column:
+    hay, runs, words = x["hay"], x["runs"], x["words"]
     judged = (F.size(words) > 0) | F.exists(runs, lambda r: F.length(r) >= 3)
     longest = F.array_max(F.concat(
-        F.array(F.lit(0)), F.transform(F.filter(fragments(query), lambda f: F.contains(hay, f)), F.length),
-        F.transform(F.array_intersect(words, words_in(hay)), F.length),
+        F.array(F.lit(0)), F.transform(F.filter(x["parts"], lambda f: F.contains(hay, f)), lambda f: F.length(f)),
+        F.transform(F.array_intersect(words, words_in(hay)), lambda w: F.length(w)),
     ))
-    foreign = (longest == 0) & (F.size(runs) > 0) & (F.size(words) == 0) & (han_share(hay) < LEAST_HAN)
-    return F.when(~judged, None).when(stripped(hay) == "", 0).when(~foreign, longest)
+    return let(longest, lambda n: F.when(~judged, None).when(stripped(hay) == "", 0).when(~((n == 0) & (F.size(runs) > 0) & (F.size(words) == 0) & (han_share(hay) < LEAST_HAN)), n))
 
 
 def term_hits(hay: Column, query: Column | str) -> Column:
     """How many terms of the query the text has (V2); null for fewer than two terms."""
-    terms = lettered_terms(query)
-    words = words_in(hay)
-    hit = F.size(F.filter(terms, lambda t: F.when(t.rlike(HAN), F.contains(hay, t)).otherwise(F.array_contains(words, t))))
+    return let(F.struct(hay.alias("hay"), lettered_terms(query).alias("terms"), words_in(hay).alias("words")), _term_hits)
+
+
+def _term_hits(x: Column) -> Column:
+    hay, terms = x["hay"], x["terms"]
+    hit = F.size(F.filter(terms, lambda t: F.when(t.rlike(HAN), F.contains(hay, t)).otherwise(F.array_contains(x["words"], t))))
     foreign = F.forall(terms, lambda t: t.rlike(HAN)) & (han_share(hay) < LEAST_HAN)
     return F.when(F.size(terms) < 2, None).when(stripped(hay) == "", 0).when(~foreign, hit)
 
@@ -81,8 +87,12 @@ def relevant(overlap_: Column, hits: Column, least_overlap: int = 3, least_terms
 def front_hits(title: Column | str, text: Column | str, query: Column | str, head: int = 500, generic=tables.GENERIC_TERMS) -> Column:
     """How often the most frequent core term stands in title and first 500 characters (V4); 99 if that cannot be judged."""
     terms = F.filter(F.filter(coverage_terms(query), lambda t: t.rlike("[\\u4e00-\\u9fffA-Za-z]")), lambda t: ~t.isin(*generic))
-    terms = F.transform(terms, F.lower)
     window = F.lower(F.concat(F.coalesce(_c(title), F.lit("")), F.lit("\n"), F.substring(F.coalesce(_c(text), F.lit("")), 1, head)))
+    return let(F.struct(window.alias("window"), F.transform(terms, lambda t: F.lower(t)).alias("terms")), _front_hits)
+
+
+def _front_hits(x: Column) -> Column:
+    window, terms = x["window"], x["terms"]
     often = F.array_max(F.transform(terms, lambda t: ((F.length(window) - F.length(F.replace(window, t, F.lit("")))) / F.length(t)).cast("int")))
     foreign = F.exists(terms, lambda t: t.rlike(HAN)) & (han_share(window) < LEAST_HAN)
     return F.when((F.size(terms) == 0) | (stripped(window) == "") | foreign, 99).otherwise(often)

@@ -118,7 +118,8 @@ def form_score(t: Column, weight: Column) -> Column:
 
 
 def _hits(scan: Column, markers: Iterable[str]) -> Column:
-    return F.size(F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(scan, m)))
+    markers = F.array(*[F.lit(m) for m in markers])
+    return let(scan, lambda s: F.size(F.filter(markers, lambda m: F.contains(s, m))))
 
 
 def content_score(text: Column | str, url: Column | str, weight: Column | None = None) -> Column:
@@ -131,20 +132,22 @@ def content_score(text: Column | str, url: Column | str, weight: Column | None =
 
 
 def _content_score(t: Column, u: Column, weight: Column | None) -> Column:
-    scan = F.concat(_head(t), _tail(t))
-    marked = (
-        form_score(t, host_weight(u) if weight is None else weight)
-        - F.least(F.lit(0.30), 0.03 * _hits(scan, [m.lower() for m in tables.WEAK_MARKERS]))
-        - F.least(F.lit(0.30), 0.10 * _hits(scan, tables.NEGATIVE_MARKERS))
-        + F.least(F.lit(0.15), 0.03 * _hits(scan, tables.POSITIVE_MARKERS))
-    ) * F.least(F.lit(1.0), F.length(t) / 200.0)
+    def marked(scan: Column) -> Column:
+        return (
+            form_score(t, host_weight(u) if weight is None else weight)
+            - F.least(F.lit(0.30), 0.03 * _hits(scan, [m.lower() for m in tables.WEAK_MARKERS]))
+            - F.least(F.lit(0.30), 0.10 * _hits(scan, tables.NEGATIVE_MARKERS))
+            + F.least(F.lit(0.15), 0.03 * _hits(scan, tables.POSITIVE_MARKERS))
+        ) * F.least(F.lit(1.0), F.length(t) / 200.0)
+
     tier = urls.low_value_tier(u)
-    tiered = F.when(tier == 2, F.least(marked, F.lit(tables.LOW_VALUE_CAP))).when(tier == 1, marked * tables.LOW_VALUE_FACTOR).otherwise(marked)
-    capped = F.when(urls.text_soup(u), F.least(tiered, F.lit(tables.LOW_VALUE_CAP))).otherwise(tiered)
+    factor = F.when(tier == 1, tables.LOW_VALUE_FACTOR).otherwise(1.0)
+    most = F.when((tier == 2) | urls.text_soup(u), tables.LOW_VALUE_CAP).otherwise(1.0)
+    score = let(F.concat(_head(t), _tail(t)), marked)
     return (
         F.when((t == "") | urls.blacklisted(u) | block_page(t) | garbled(t), 0.0)
         .when(template_page(t), 0.05)
-        .otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), 4))
+        .otherwise(F.round(F.greatest(F.lit(0.0), F.least(most, score * factor)), 4))
     )
 
 

@@ -122,12 +122,13 @@ def _comparable(s: Column) -> Column:
 
 
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
-    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
+    needles = F.array(*[F.lit(n) for n in needles])
+    return let(text, lambda t: F.exists(needles, lambda n: F.contains(t, n)))
 
 
 def any_pair(host: Column, rest: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    pairs = [F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in pairs]
-    return F.exists(F.array(*pairs), lambda x: F.contains(host, x["h"]) & F.contains(rest, x["p"]))
+    pairs = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(p).alias("p")) for h, p in pairs])
+    return let(F.struct(host.alias("host"), rest.alias("rest")), lambda u: F.exists(pairs, lambda x: F.contains(u["host"], x["h"]) & F.contains(u["rest"], x["p"])))
 
 
 def blacklisted(url: Column | str, hosts: Iterable[str] = tables.BLACKLISTED_HOSTS, paths=tables.BLACKLISTED_PATHS) -> Column:
@@ -149,8 +150,8 @@ def text_soup(url: Column | str, hosts: Iterable[str] = tables.TEXT_SOUP_HOSTS,
 
 def under(host: Column, domains: Iterable[str]) -> Column:
     """Whether the host is one of the domains or below one (suffix match)."""
-    dotted = F.concat(F.lit("."), host)
-    return F.exists(F.array(*[F.lit("." + d) for d in domains]), lambda d: F.endswith(dotted, d))
+    ends = F.array(*[F.lit("." + d) for d in domains])
+    return let(F.concat(F.lit("."), host), lambda dotted: F.exists(ends, lambda d: F.endswith(dotted, d)))
 
 
 def report_mill(url: Column | str, domains: Iterable[str] = tables.REPORT_MILLS) -> Column:
