@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,3 +72,31 @@ def window_owner(starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     owner = np.repeat(np.arange(len(counts)), counts)
     first = np.concatenate([[0], np.cumsum(counts)])[:-1]
     return np.arange(counts.sum()) - first[owner] + starts[:-1][owner], owner
+
+
+def _normal_forms() -> np.ndarray:
+    """For each code point below 0x20000 the letter or digit it counts as, 0 for any other character."""
+    forms = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        ch = chr(c)
+        if not ch.isalnum():
+            continue
+        if 0xFF00 <= c <= 0xFFEF:
+            ch = unicodedata.normalize("NFKC", ch)
+        low = ch.lower()
+        forms[c] = ord(low) if len(low) == 1 else ord(low[0])
+    return forms
+
+
+_forms: np.ndarray | None = None
+
+
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters and digits of all texts in one case and width, and where each text starts."""
+    global _forms
+    if _forms is None:
+        _forms = _normal_forms()
+    points, starts = code_points(texts)
+    form = _forms[points]
+    kept = np.concatenate([[0], np.cumsum(form > 0)])
+    return form[form > 0], kept[starts]

@@ -10,7 +10,6 @@ Every position of every passage and every document is hashed, so a common run of
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm._chars import U, code_points, mix, slices
+from pagesift.llm._chars import U, letters, mix, slices
 
 SPAN = 24
 #: Positions that count (1) and that are ignored (0); the first mask ignores none.
@@ -29,34 +28,6 @@ MOST_SENT = 20_000_000
 _FILTER_BITS = 22
 
 
-def _normal_forms() -> np.ndarray:
-    """For each code point below 0x20000 the letter or digit it counts as, 0 for any other character."""
-    forms = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
-        ch = chr(c)
-        if not ch.isalnum():
-            continue
-        if 0xFF00 <= c <= 0xFFEF:
-            ch = unicodedata.normalize("NFKC", ch)
-        low = ch.lower()
-        forms[c] = ord(low) if len(low) == 1 else ord(low[0])
-    return forms
-
-
-_forms: np.ndarray | None = None
-
-
-def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and digits of all texts in one case and width, and where each text starts."""
-    global _forms
-    if _forms is None:
-        _forms = _normal_forms()
-    points, starts = code_points(texts)
-    form = _forms[points]
-    kept = np.concatenate([[0], np.cumsum(form > 0)])
-    return form[form > 0], kept[starts]
-
-
 def seeds(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose window lies within one text, and their hashes, a row per mask."""
     n = len(chars) - SPAN + 1
