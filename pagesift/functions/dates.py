@@ -51,8 +51,9 @@ def _normalized(s: Column, as_of: str) -> Column:
     month = month_number(part(english, 1))
     out = out.when(s.rlike(english) & (month != ""), iso(part(english, 3), month, part(english, 2)))
     per = F.create_map(*[F.lit(x) for kv in UNIT_DAYS.items() for x in kv])
+    # no date before the year 1
     days = F.try_multiply(F.substring(part(ago, 1), 1, 6).try_cast("int"), F.try_element_at(per, F.lower(part(ago, 2))))
-    return out.when(s.rlike(ago), F.coalesce(F.date_format(F.date_sub(F.lit(as_of).cast("date"), days), "yyyy-MM-dd"), F.lit(""))).otherwise("")
+    return out.when(s.rlike(ago) & (days > 700_000), "").when(s.rlike(ago), F.coalesce(F.date_format(F.date_sub(F.lit(as_of).cast("date"), days), "yyyy-MM-dd"), F.lit(""))).otherwise("")
 
 
 def page_date(text: Column | str, head: int = 2000) -> Column:
