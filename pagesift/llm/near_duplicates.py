@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, RUN, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, code_points, mix, rolling, slices, window_owner
+from pagesift.operators.dedup import components
 from pagesift.session import written
 
 COUNTERS = 1 << 18
@@ -186,3 +187,19 @@ def alike_entries(rows: DataFrame, key: str = "entry_id", text: str = "body", le
     same = m.join(n, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("x") < F.col("y"))).select("x", "y")
     across = pairs.join(m, ["a1", "a2"]).join(n, ["b1", "b2"]).select("x", "y")
     return same.union(across).select(F.least("x", "y").alias("entry_a"), F.greatest("x", "y").alias("entry_b")).distinct()
+
+
+def groups(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE) -> DataFrame:
+    """Each row with a text of 200 characters or more: (`key`, `group`, `links`).
+
+    group: the least key of the connected component of alike texts; links: with how many other distinct texts the row's
+    text pairs. Copies of one text are in one group and share their links.
+    """
+    pairs, members = near_duplicates(rows, key, text, least)
+    pairs, one = written(pairs, "alike"), F.lit(1)
+    texts = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    ends = pairs.join(texts.toDF("a1", "a2", "a"), ["a1", "a2"]).join(texts.toDF("b1", "b2", "b"), ["b1", "b2"]).select(one.alias("all"), "a", "b")
+    labels = components(ends, texts.select(one.alias("all"), F.col("rep").alias("id")), "all")
+    links = ends.select("a", "b").union(ends.select("b", "a")).groupBy(F.col("a").alias("rep")).agg(F.count(one).alias("links"))
+    known = texts.join(labels.select(F.col("id").alias("rep"), F.col("cluster").alias("group")), "rep").join(links, "rep", "left")
+    return members.join(known, ["k1", "k2"]).select(F.col("id").alias(key), "group", F.coalesce("links", F.lit(0)).alias("links"))

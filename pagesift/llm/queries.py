@@ -74,6 +74,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.alike_entries(table(spark, sf_dir, "ledger_entry"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "ledger_entry"))
+
+
 def p5_leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leximin.leximin(table(spark, sf_dir, "eval_item"), "query", "eval_id", ["authority", "coverage", "rel"])
 
@@ -118,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p3_found": p3_found,
         "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p5_leximin": p5_leximin,
         "p6_found": p6_found,
         "p6_restored": p6_restored,

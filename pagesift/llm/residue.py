@@ -123,7 +123,8 @@ def candidates(text: str) -> list[tuple[str, str, str, bool, bool]]:
         found[m.start()] = (m.end(), next((g for g in m.groups() if g), "").strip().lower(), True, False)
     out = []
     for start, (end, name, sure, again) in found.items():
-        left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+        # neighbours of the same line
+        left, right = text[max(0, start - CONTEXT) : start].rpartition("\n")[2], text[end : end + CONTEXT]
         out.append((re.sub(r"\d", "0", left), re.sub(r"\d", "0", right), name, sure, again))
     return out
 
@@ -218,8 +219,8 @@ def residue(rows: DataFrame, key: str = "entry_id", text: str = "body") -> DataF
     names = kept.where("sure and name != ''").groupBy("name").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("name", F.lit(True).alias("known"))
     left = kept.groupBy("lo").agg(F.approx_count_distinct("name").alias("_n")).where(F.col("_n") >= LEAST_FILLINGS).select("lo", F.lit(True).alias("slot_left"))
     right = kept.groupBy("hi").agg(F.approx_count_distinct("name").alias("_n")).where(F.col("_n") >= LEAST_FILLINGS).select("hi", F.lit(True).alias("slot_right"))
-    # neighbours between which sure notations stand; a line's start is no neighbour
-    sure = kept.where(F.col("sure") & F.col("lo").rlike(r"^[^\n]{5}$")).groupBy("lo").agg(F.approx_count_distinct("name").alias("_n")).where(F.col("_n") >= LEAST_FILLINGS).select("lo", F.lit(True).alias("slot_sure"))
+    # neighbours between which sure notations stand; a bare start of a line is none
+    sure = kept.where(F.col("sure") & F.col("lo").rlike(r"^.{3,}$")).groupBy("lo").agg(F.approx_count_distinct("name").alias("_n")).where(F.col("_n") >= LEAST_FILLINGS).select("lo", F.lit(True).alias("slot_sure"))
     is_word = F.col("name").rlike(f"^(?:{_NO_VALUE.pattern})$")
     slots = (
         kept.join(names, "name", "left").join(left, "lo", "left").join(right, "hi", "left").join(sure, "lo", "left")
