@@ -195,3 +195,18 @@ def test_leak_with_substitutions(spark):
         t[k] = "ж"
     got = contamination.leaks(spark.createDataFrame([(1, "".join(t))], "doc_id long, text string"), spark.createDataFrame([(1, p)], "item_id long, passage string")).first()
     assert got["run"] < 60 and got["share"] > 0.9
+
+
+def test_hot_chunks(spark, monkeypatch):
+    """Furniture on all pages pairs none of them, and hides no repeat."""
+    monkeypatch.setattr(history, "HOT", 20)
+    rng = random.Random(8)
+    foot = article(rng, 30)
+    rows = [(i, i % 5, f"https://h{i}.example", article(rng, 150) + "\n\n" + foot) for i in range(60)]
+    rows += [(100 + k, 9, None, edited(rng, rows[k][3], 8)) for k in range(10)]
+    rows += [(200 + k, k % 2, None, foot + "\n" + foot[::-1] + article(rng, 8)) for k in range(30)]
+    df = spark.createDataFrame(rows, "entry_id long, round_no int, url string, body string")
+    assert {r.entry_id for r in history.repeats(df).collect()} == repeats_of(rows)
+    chunks = history._chunk_rows(history.keyed(df))
+    kept = history._searched(chunks)
+    assert 0 < kept.groupBy("chunk").count().agg(F.max("count")).first()[0] < chunks.groupBy("chunk").count().agg(F.max("count")).first()[0]
