@@ -41,11 +41,12 @@ def _share_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([share_in_both(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def checked_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float = LEAST_SHARE, weigh=None) -> DataFrame:
+def checked_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float = LEAST_SHARE, measure=None) -> DataFrame:
     """Of candidate pairs (`a`, `b`: first halves of content keys, a < b), those whose texts are alike.
 
     classes: (`k1`, `k2`, `rep`), a row per distinct text, `rep` being the id of one row that holds it. texts: (`id`,
-    `body`). Result: (`a1`, `a2`, `b1`, `b2`, `share`), and `weighted` by a pandas UDF `weigh` of both texts if given. Should two texts agree in the first half of their keys, both are
+    `body`). Result: (`a1`, `a2`, `b1`, `b2`, `share`), and `weighted` if a pandas UDF `measure` of
+    both texts is given that gives (`share`, `weighted`). Should two texts agree in the first half of their keys, both are
     checked. Texts move once, and only those of some pair; the optimiser sends the ids of these to all executors only
     when they are below its size threshold.
     """
@@ -54,6 +55,8 @@ def checked_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least:
     held = texts.join(wanted, "id").select("k1", "k2", "body")
     left = held.select(F.col("k1").alias("a"), F.col("k2").alias("a2"), F.col("body").alias("body_a"))
     right = held.select(F.col("k1").alias("b"), F.col("k2").alias("b2"), F.col("body").alias("body_b"))
-    alike = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("share", _share_udf("body_a", "body_b")).where(F.col("share") >= least)
-    more = [] if weigh is None else [weigh("body_a", "body_b").alias("weighted")]
-    return alike.select(F.col("a").alias("a1"), "a2", F.col("b").alias("b1"), "b2", "share", *more)
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    keys = [F.col("a").alias("a1"), F.col("a2"), F.col("b").alias("b1"), F.col("b2")]
+    if measure is None:
+        return both.select(*keys, _share_udf("body_a", "body_b").alias("share")).where(F.col("share") >= least)
+    return both.select(*keys, measure("body_a", "body_b").alias("_m")).select("a1", "a2", "b1", "b2", "_m.share", "_m.weighted").where(F.col("share") >= least)

@@ -139,13 +139,18 @@ def band_hashes(texts: list[str], idf: np.ndarray) -> list[np.ndarray]:
     return [b[f] for b, f in zip(bands.reshape(-1, BINS), full.reshape(-1, BINS))]
 
 
-def weighted_jaccard(a: str, b: str, idf: np.ndarray) -> float:
-    """Sum of the lesser over the sum of the greater TF-IDF weights of all shingles of two bare texts."""
-    (_, x, tx), (_, y, ty) = _shingles([a]), _shingles([b])
+def pair_measures(a: str | None, b: str | None, idf: np.ndarray) -> tuple[float, float]:
+    """Of all shingles of two texts: the share that both have, and the sum of the lesser over the sum of the greater
+    TF-IDF weights."""
+    sets = []
+    for text in (a, b):
+        t = bare(text)
+        h, n = np.unique(mix(rolling(code_points([t])[0], RUN, 11)) if len(t) >= RUN else np.empty(0, U), return_counts=True)
+        sets.append((h, (1 + np.log(n)) * idf[(mix(h >> U(20)) & U(COUNTERS - 1)).astype(np.int64)]))
+    (x, wx), (y, wy) = sets
     both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    wx, wy = ((1 + np.log(t)) * idf[(h & U(COUNTERS - 1)).astype(np.int64)] for h, t in ((x, tx), (y, ty)))
     common = np.minimum(wx[ix], wy[iy]).sum()
-    return float(common / max(1e-9, wx.sum() + wy.sum() - common))
+    return both.size / max(1, x.size + y.size - both.size), float(common / max(1e-9, wx.sum() + wy.sum() - common))
 
 
 def _banding(idf_of):
@@ -188,11 +193,11 @@ def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body",
     )
     classes = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
 
-    @F.pandas_udf(T.DoubleType())
-    def weigh(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_jaccard(bare(x), bare(y), idf.value) for x, y in zip(a, b)], dtype="float64")
+    @F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("weighted", T.DoubleType())]))
+    def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([pair_measures(x, y, idf.value) for x, y in zip(a, b)], columns=["share", "weighted"], dtype="float64")
 
-    return checked_pairs(written(met.select("a", "b"), "met"), classes, source, least, weigh), members
+    return checked_pairs(written(met.select("a", "b"), "met"), classes, source, least, measure), members
 
 
 def alike_entries(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE) -> DataFrame:

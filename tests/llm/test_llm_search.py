@@ -210,3 +210,16 @@ def test_hot_chunks(spark, monkeypatch):
     chunks = history._chunk_rows(history.keyed(df))
     kept = history._searched(chunks)
     assert 0 < kept.groupBy("chunk").count().agg(F.max("count")).first()[0] < chunks.groupBy("chunk").count().agg(F.max("count")).first()[0]
+
+
+def test_pair_measures():
+    import numpy as np
+
+    rng = random.Random(11)
+    a = article(rng, 60)
+    b = edited(rng, a, 6)
+    flat = np.ones(near_duplicates.COUNTERS, np.float32)
+    share, weighted = near_duplicates.pair_measures(a, b, flat)
+    assert share == pytest.approx(share_in_both(a, b)) and abs(share - weighted) < 0.05
+    assert near_duplicates.pair_measures(a, a, flat) == (1.0, 1.0)
+    assert near_duplicates.pair_measures(a, None, flat) == (0.0, 0.0) and near_duplicates.pair_measures("", "短", flat)[0] == 0.0
