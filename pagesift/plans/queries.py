@@ -246,8 +246,10 @@ def a8_cluster_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s8_known_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = _items(spark, d).where("url is not null").select("item_id", urls.comparable("url").alias("nurl"))
-    return dedup.known_pages(pages, table(spark, d, "ledger_entry").select("nurl", "round_no")).where("known_round is not null").select("item_id", "known_round")
+    """Every seventh entry's address, looked up among the pages as the ledger holds them."""
+    rows = table(spark, d, "ledger_entry")
+    pages = rows.where("url is not null and entry_id % 7 = 0").select("entry_id", urls.comparable("url").alias("page"))
+    return dedup.known_pages(pages, rows.select(F.col("nurl").alias("page"), "round_no"), "page").select("entry_id", "known_round")
 
 
 def s9_known_bodies(spark: SparkSession, d: str) -> DataFrame:
