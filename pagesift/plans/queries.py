@@ -246,9 +246,9 @@ def a8_cluster_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s8_known_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Every seventh entry's address, looked up among the pages as the ledger holds them."""
+    """The address of every entry, looked up among the pages as the ledger holds them."""
     rows = table(spark, d, "ledger_entry")
-    pages = rows.where("url is not null and entry_id % 7 = 0").select("entry_id", urls.comparable("url").alias("page"))
+    pages = rows.where("url is not null").select("entry_id", urls.comparable("url").alias("page"))
     return dedup.known_pages(pages, rows.select(F.col("nurl").alias("page"), "round_no"), "page").select("entry_id", "known_round")
 
 
