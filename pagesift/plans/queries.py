@@ -402,7 +402,7 @@ def snk1_archives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deep_search_all(spark: SparkSession, d: str) -> DataFrame:
-    return deep_search(table(spark, d, "fetched_item"), table(spark, d, "search_batch"), table(spark, d, "candidate"), table(spark, d, "ledger_entry").where("round_no % 5 = 0").select("nurl", "round_no"), learning.host_stats(table(spark, d, "observation")), AS_OF)
+    return deep_search(table(spark, d, "fetched_item"), table(spark, d, "search_batch"), table(spark, d, "candidate"), table(spark, d, "ledger_entry").select("nurl", "round_no", "body"), learning.host_stats(table(spark, d, "observation")), AS_OF, decoys=DECOYS)
 
 
 QUERIES = (
