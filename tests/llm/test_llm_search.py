@@ -212,6 +212,26 @@ def test_hot_chunks(spark, monkeypatch):
     assert 0 < kept.groupBy("chunk").count().agg(F.max("count")).first()[0] < chunks.groupBy("chunk").count().agg(F.max("count")).first()[0]
 
 
+def test_family_with_few_hot_chunks(spark, monkeypatch, tmp_path):
+    """Reprints edited throughout keep little but chunks that all of them carry; repeats and append agree on them."""
+    monkeypatch.setattr(history, "HOT", 12)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    parts = [word(n) for _ in range(12) for n in (30, 30, 30, 75)]
+    rows = [(i, i, None, "".join(p + word(1) for p in parts)) for i in range(30)]
+    df = spark.createDataFrame(rows, "entry_id long, round_no int, url string, body string")
+    chunks = history._chunk_rows(history.keyed(df))
+    hot = chunks.join(chunks.groupBy("chunk").count().where("count > 12"), "chunk").groupBy("k").agg((F.sum("units") / F.max("size") / history.CHUNKINGS).alias("part"))
+    assert hot.count() == 30 and history.LEAST_COVERAGE < hot.agg(F.min("part")).first()[0] and hot.agg(F.max("part")).first()[0] < 0.25
+    whole = {tuple(r) for r in history._shared(chunks, chunks).collect()}
+    kept = history._searched(chunks)
+    assert len(whole) == 435 and {tuple(r) for r in history._shared(kept, kept).collect()} == whole
+    want = repeats_of(rows)
+    assert len(want) == 29 and {r.entry_id for r in history.repeats(df).collect()} == want
+    h = history.History(spark, str(tmp_path / "h"), buckets=2)
+    assert {r.entry_id for r in h.append(df).collect()} == want
+
+
 def test_pair_measures():
     import numpy as np
 
