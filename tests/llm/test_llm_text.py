@@ -83,6 +83,16 @@ def test_link_spam(spark, corpus):
     assert link_spam.stuffed(df.where("false")).count() == 0
 
 
+def test_keywords_without_separators():
+    """One run ten times among many different characters or words is a keyword line, an ordinary sentence is not."""
+    zh = "".join("不锈钢管" + w for w in ("厂家", "价格", "批发", "规格", "定制", "加工", "现货", "采购", "标准", "重量"))
+    en = " ".join(f"steel pipe {w}" for w in ("price", "maker", "sale", "stock")) + " with twelve further words that each stand here once and raise different"
+    assert len(zh) == 60 and len(set(zh)) > 0.3 * len(zh) and len(set(en.split())) > 0.7 * len(en.split())
+    assert link_spam.stuffed_share(zh, {})[0] == 1.0 and link_spam.stuffed_share(en, {})[0] == 1.0
+    prose = "研究人员在三个地区连续两年收集了河流沉积物样本，并且比较了它们在旱季与雨季的重金属含量，发现下游城市附近的浓度明显高于上游山区。"
+    assert link_spam.stuffed_share(prose, {})[0] == 0.0
+
+
 def test_water_filling():
     sizes = {"a": 100, "b": 1000, "c": 10, "none": 0}
     targets = {"a": (0.5, 2), "b": (0.3, 1), "c": (0.2, 4), "none": (0.5, 9), "absent": (0.1, 1)}
