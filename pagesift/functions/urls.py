@@ -88,19 +88,30 @@ def comparable(url: Column | str) -> Column:
     Without scheme, fragment, default port, tracking parameters and trailing slashes; parameters decoded, sorted and
     encoded again. A bad port or no host leaves the lower case of the whole.
     """
-    return let(trimmed(url), _comparable)
+    # one pattern takes the address apart; every step below sees short parts only
+    parts = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+    spread = lambda s: F.struct(s.alias("s"), *[F.regexp_extract(s, parts, i).alias(n) for i, n in enumerate(("scheme", "authority", "path", "query"), 1)])
+    hosted = lambda u: let(F.struct(u.alias("u"), F.regexp_replace(F.lower(u["authority"]), r"^.*@", "").alias("h")), lambda x: F.struct(x["u"].alias("u"), F.regexp_replace(x["h"], r":[^:\]]*$", "").alias("host"), F.regexp_extract(x["h"], r":([^:\]]*)$", 1).alias("port")))
+    return let(let(let(trimmed(url), spread), hosted), _comparable)
 
 
-def _comparable(s: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    port = F.regexp_extract(F.regexp_extract(s, AUTHORITY, 1), r":([^:\]]*)$", 1)
+def _comparable(x: Column) -> Column:
+    s, scheme, raw, port = x["u"]["s"], F.lower(x["u"]["scheme"]), x["host"], x["port"]
     usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    host = F.concat(raw_host(s), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
+    host = F.concat(raw, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)))
     # parameters of the last segment, after a semicolon, are no part of the path
-    path = F.regexp_replace(path_of(s), r";[^/]*$", "")
-    safe = F.array_join(F.transform(F.split(path, ""), lambda c: F.when(c.rlike(r"^[!-~]?$"), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))), "")
-    pieces = F.transform(F.split(safe, "%"), lambda p, i: F.when((i > 0) & p.rlike("^[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 1_000_000))).otherwise(p))
-    path = let(F.regexp_replace(F.array_join(pieces, "%"), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+    path = F.regexp_replace(x["u"]["path"], r";[^/]*$", "")
+
+    def safe(p: Column) -> Column:
+        """Characters other than visible ASCII encoded; few addresses have any."""
+        each = F.transform(F.split(p, ""), lambda c: F.when(c.rlike(r"^[!-~]?$"), c).otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))))
+        return F.when(p.rlike(r"^[!-~]*$"), p).otherwise(F.array_join(each, ""))
+
+    def upper_escapes(p: Column) -> Column:
+        pieces = F.transform(F.split(p, "%"), lambda x, i: F.when((i > 0) & x.rlike("^[0-9a-fA-F]{2}"), F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 1_000_000))).otherwise(x))
+        return F.when(F.contains(p, F.lit("%")), F.array_join(pieces, "%")).otherwise(p)
+
+    path = let(F.regexp_replace(let(let(path, safe), upper_escapes), "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
 
     def decoded(x: Column) -> Column:
         return F.coalesce(F.try_url_decode(x), x)
@@ -114,10 +125,13 @@ def _comparable(s: Column) -> Column:
     def encoded(x: Column) -> Column:
         return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
-    pairs = F.filter(F.transform(F.filter(F.split(query_of(s), "&"), lambda p: p != ""), pair), lambda p: ~F.lower(p["k"]).isin(*TRACKING))
-    query = F.transform(F.array_sort(pairs), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"])))
-    whole = F.concat(host, path, let(F.array_join(query, "&"), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))
-    bad = (raw_host(s) == "") | ((port != "") & ~port.rlike(r"^[0-9]{1,5}$"))
+    def tail(q: Column) -> Column:
+        pairs = F.filter(F.transform(F.filter(F.split(q, "&"), lambda p: p != ""), pair), lambda p: ~F.lower(p["k"]).isin(*TRACKING))
+        kept = F.transform(F.array_sort(pairs), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"])))
+        return F.when(q == "", "").otherwise(let(F.array_join(kept, "&"), lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise("")))
+
+    whole = F.concat(host, path, let(x["u"]["query"], tail))
+    bad = (raw == "") | ((port != "") & ~port.rlike(r"^[0-9]{1,5}$"))
     return F.when(s == "", "").when(bad, F.lower(s)).otherwise(whole)
 
 

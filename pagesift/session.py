@@ -43,6 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """Path of a new folder in the shared folder; what is written there goes as the tables of `written` do."""
+    if not _written:
+        atexit.register(drop_written)
+    path = f"{shared_folder(spark).rstrip('/')}/pagesift-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it again.
 
@@ -50,10 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     earlier with `drop_written`.
     """
     spark = df.sparkSession
-    if not _written:
-        atexit.register(drop_written)
-    path = f"{shared_folder(spark).rstrip('/')}/pagesift-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
