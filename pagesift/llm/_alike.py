@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -29,16 +31,21 @@ def _runs(text: str | None) -> np.ndarray:
     return np.unique(mix(rolling(code_points([t])[0], RUN, 11)))
 
 
-def share_in_both(a: str | None, b: str | None) -> float:
-    """Of all distinct runs of 8 characters in either bare body, the share that occurs in both; 0 without runs."""
-    x, y = _runs(a), _runs(b)
+def _share(x: np.ndarray, y: np.ndarray) -> float:
     both = np.intersect1d(x, y, assume_unique=True).size
     return both / max(1, x.size + y.size - both)
 
 
+def share_in_both(a: str | None, b: str | None) -> float:
+    """Of all distinct runs of 8 characters in either bare body, the share that occurs in both; 0 without runs."""
+    return _share(_runs(a), _runs(b))
+
+
 @F.pandas_udf(T.DoubleType())
 def _share_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([share_in_both(x, y) for x, y in zip(a, b)], dtype="float64")
+    # rows come sorted by one of the texts, so that its runs serve for many pairs; of the others the last ones are kept
+    known = lru_cache(256)(_runs)
+    return pd.Series([_share(known(x), known(y)) for x, y in zip(a, b)], dtype="float64")
 
 
 def checked_pairs(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float = LEAST_SHARE, measure=None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import contamination, contributor_cap, encoding, history, leximin, link_spam, mixture, near_duplicates, residue
-from pagesift.session import table, written
+from pagesift.session import scratch, table, written
 
 
 P3_FOUND = r"""
@@ -57,7 +57,7 @@ from vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.repeats(table(spark, sf_dir, "ledger_entry")).select("entry_id")
+    return history.History(spark, scratch(spark, "history")).accepted(table(spark, sf_dir, "ledger_entry")).select("entry_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
