@@ -33,7 +33,7 @@ HOT = 1000
 _DRAWS = 40
 
 
-def filled(low: np.ndarray, empty: np.ndarray) -> np.ndarray:
+def filled(low: np.ndarray, empty: np.ndarray, seed: int = 0) -> np.ndarray:
     """Rows of bins in which each empty bin takes the value of another one, drawn alike for all rows.
 
     Texts with few distinct runs leave bins empty; the draws are the same for every text, so two texts still agree in a
@@ -44,7 +44,7 @@ def filled(low: np.ndarray, empty: np.ndarray) -> np.ndarray:
         at, column = np.nonzero(empty)
         if not len(at):
             break
-        source = (mix(U(turn << 32) + column.astype(U)) % U(bins)).astype(np.int64)
+        source = (mix(U((seed << 48) + (turn << 32)) + column.astype(U)) % U(bins)).astype(np.int64)
         taken = ~empty[at, source]
         low[at[taken], column[taken]] = low[at[taken], source[taken]]
         # bins filled in this turn lend nothing before the next

@@ -1,24 +1,31 @@
 """Near-duplicate records with small edits (problem 4).
 
-Improved consistent weighted sampling over TF-IDF shingles, banded, verified by Jaccard similarity of the whole shingle
-sets, exactly. The weighted Jaccard similarity is given with each pair but decides nothing: "alike" is defined without
-weights, and two texts that have mostly frequent shingles in common are alike with a low weighted similarity.
+Improved consistent weighted sampling over TF-IDF shingles, banded, verified by the weighted Jaccard similarity of the
+whole shingle sets and then by the plain share that defines "alike".
 
 Shingles are the distinct runs of 8 characters of the bare body, the unit in which "alike" is defined for these tables.
-A shingle weighs (1 + ln tf) * -ln(df / N + 0.003). Document frequencies are counted over all rows in a table of
-2**18 hashed counters, whose size does not grow with the data; a counter is too high by at most the share of all
-shingles that it receives by chance, the same at every size, which is what the 0.003 levels out.
-
-Sampling cost does not grow with the number of samples: each of 4 repetitions deals the shingles of a text to 64 bins
-and keeps the consistent weighted sample of each bin. The samples of the 4 repetitions in one bin make a band; bands
-with an empty bin are left out. Two texts meet in a band with about the fourth power of their weighted similarity, so a
-pair at 0.6 meets in two or more of 64 bands with a probability of 0.9985 or more; chance pairs mostly meet once at most
-and are dropped before any text is read.
+The weight of a shingle grows with its frequency in the text and its rarity among all texts, between 1 and
+`TF_PART * IDF_PART` = 1.5. The bound matters: "alike" is a plain share, and a reprint of a much-copied text has its
+frequent, light shingles in common and its rare, heavy ones not. With the bound a pair with a plain share of 0.6 has a
+weighted similarity of 0.5 or more where the shingles of both texts are about as frequent in either, and never less than
+0.4, whatever the corpus; so `LEAST_WEIGHTED` = 0.4 drops no pair of the definition.
+
+Document frequencies are counted over all rows in a table of 2**18 hashed counters, whose size does not grow with the
+data; a counter is too high by at most the share of all shingles that it receives by chance, the same at every size,
+which is what `IDF_FLOOR` levels out.
+
+Sampling cost does not grow with the number of samples: each of 3 repetitions deals the shingles of a text to 48 bins and
+keeps the consistent weighted sample of each bin; a bin that is left empty, as in texts with few different shingles, takes
+the sample of another one, drawn alike for all texts. The samples of the 3 repetitions in one bin make a band. Two texts
+meet in a band with the third power of their weighted similarity, in some of 48 bands with a probability of 0.99998 at 0.6,
+0.998 at 0.5 and 0.957 at 0.4. Chance pairs are dropped by their sketches before they leave the join (`_meet`), and a band
+that very many texts share is split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,6 +36,7 @@ from pyspark.sql import types as T
 
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, RUN, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, code_points, mix, rolling, slices, window_owner
+from pagesift.llm._meet import ROWS, dealt, filled, frequencies, meeting, sketches
 from pagesift.operators.dedup import components
 from pagesift.session import written
 
@@ -36,9 +44,12 @@ COUNTERS = 1 << 18
 SLICE = 1 << 10
 SALTS = 64
 IDF_FLOOR = 0.003
-REPEATS = 4
-BINS = 64
-LEAST_BANDS = 2
+REPEATS = 3
+BINS = 48
+#: Most that frequency in the text, and rarity among texts, may add to the weight of a shingle.
+TF_PART, IDF_PART = 1.2, 1.25
+LEAST_WEIGHTED = 0.4
+_FREQUENT = 8
 _LEVELS = 1 << 12
 
 
@@ -112,15 +123,20 @@ def document_frequencies(scanned: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(counts: np.ndarray, n: int) -> np.ndarray:
-    return np.maximum(-np.log(np.minimum(1.0, counts / max(1, n)) + IDF_FLOOR), 0.01).astype(np.float32)
+    """Of each counter the part of a weight that rarity gives: 1 for shingles of all texts, `IDF_PART` for the rarest."""
+    idf = -np.log(np.minimum(1.0, counts / max(1, n) + IDF_FLOOR)) / -np.log(IDF_FLOOR)
+    return (1 + (IDF_PART - 1) * idf).astype(np.float32)
 
 
-def band_hashes(texts: list[str], idf: np.ndarray) -> list[np.ndarray]:
-    """Of each text its bands, as scrambled 64-bit numbers."""
+def weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return (1 + (TF_PART - 1) * np.minimum(1, np.log(tf) / np.log(_FREQUENT))).astype(np.float32) * idf
+
+
+def band_hashes(texts: list[str], idf: np.ndarray) -> np.ndarray:
+    """Of each text its `BINS` bands, as scrambled 64-bit numbers."""
     owner, h, tf = _shingles(texts)
-    ln_w = np.log((1 + np.log(tf.astype(np.float32))) * idf[(h & U(COUNTERS - 1)).astype(np.int64)])
-    bands, full = np.zeros(len(texts) * BINS, U), np.ones(len(texts) * BINS, bool)
-    low = U(_LEVELS - 1)
+    ln_w = np.log(weights(tf, idf[(h & U(COUNTERS - 1)).astype(np.int64)]))
+    bands, low, none = np.zeros((len(texts), BINS), U), U(_LEVELS - 1), ~U(0)
     for k in range(REPEATS):
         x = mix(h ^ U(0xA24BAED4963EE407 * (k + 1) & 0xFFFFFFFFFFFFFFFF))
         r = _R[(x & low).astype(np.int32)]
@@ -131,51 +147,65 @@ def band_hashes(texts: list[str], idf: np.ndarray) -> list[np.ndarray]:
         place = owner * BINS + ((x >> U(36)) % U(BINS)).astype(np.int64)
         what = mix(x ^ (t.astype(np.int64).astype(U) * U(0xD6E8FEB86659FD93))) >> U(20)
         packed = (np.clip((ln_a + 70) * (1 << 20) / 84, 0, (1 << 20) - 1).astype(U) << U(44)) | what
-        least = np.full(len(texts) * BINS, ~U(0), U)
+        least = np.full(len(texts) * BINS, none, U)
         np.minimum.at(least, place, packed)
-        full &= least != ~U(0)
-        bands = mix(bands * U(0x9FB21C651E98DF25) ^ (least & U((1 << 44) - 1)))
-    bands = mix(bands ^ (np.tile(np.arange(BINS), len(texts)).astype(U) * U(0xC2B2AE3D27D4EB4F)))
-    return [b[f] for b, f in zip(bands.reshape(-1, BINS), full.reshape(-1, BINS))]
+        least = least.reshape(len(texts), BINS)
+        bands = mix(bands * U(0x9FB21C651E98DF25) ^ (filled(least, least == none, k) & U((1 << 44) - 1)))
+    return mix(bands ^ (np.arange(BINS).astype(U) * U(0xC2B2AE3D27D4EB4F)))
+
 
+def weighted_shingles(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a text and their weights."""
+    t = bare(text)
+    h, n = np.unique(mix(rolling(code_points([t])[0], RUN, 11)) if len(t) >= RUN else np.empty(0, U), return_counts=True)
+    return h, weights(n, idf[(mix(h >> U(20)) & U(COUNTERS - 1)).astype(np.int64)])
 
-def pair_measures(a: str | None, b: str | None, idf: np.ndarray) -> tuple[float, float]:
+
+def measures(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
     """Of all shingles of two texts: the share that both have, and the sum of the lesser over the sum of the greater
-    TF-IDF weights."""
-    sets = []
-    for text in (a, b):
-        t = bare(text)
-        h, n = np.unique(mix(rolling(code_points([t])[0], RUN, 11)) if len(t) >= RUN else np.empty(0, U), return_counts=True)
-        sets.append((h, (1 + np.log(n)) * idf[(mix(h >> U(20)) & U(COUNTERS - 1)).astype(np.int64)]))
-    (x, wx), (y, wy) = sets
-    both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    weights."""
+    (h, wx), (g, wy) = x, y
+    both, ix, iy = np.intersect1d(h, g, assume_unique=True, return_indices=True)
     common = np.minimum(wx[ix], wy[iy]).sum()
-    return both.size / max(1, x.size + y.size - both.size), float(common / max(1e-9, wx.sum() + wy.sum() - common))
+    return both.size / max(1, h.size + g.size - both.size), float(common / max(1e-9, wx.sum() + wy.sum() - common))
+
+
+_BANDED = "k long, s1 long, s2 long, bands array<long>"
 
 
 def _banding(idf_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = idf_of.value
         for batch in batches:
-            texts = [t for t in map(bare, batch.column(0).to_pylist()) if len(t) >= LEAST_CHARS]
-            seen = {}
-            for t in texts:
-                seen.setdefault(t, None)
-            texts = list(seen)
+            texts = list(map(bare, batch.column(0).to_pylist()))
             for a, b in slices(texts):
-                bands = band_hashes(texts[a:b], idf)
-                keys = np.fromiter((content_key(t)[0] for t in texts[a:b]), np.int64, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bands).view(np.int64)), pa.array(np.repeat(keys, [len(x) for x in bands]))], names=["band", "k"])
+                bands, drawn = band_hashes(texts[a:b], idf), sketches(texts[a:b])
+                keys = pa.array([content_key(t)[0] for t in texts[a:b]], pa.int64())
+                offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * BINS)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(drawn[:, 0]), pa.array(drawn[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))], names=["k", "s1", "s2", "bands"])
 
     return run
 
 
-def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
+def _spread(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    for batch in batches:
+        column = batch.column(3)
+        keys = column.flatten().to_numpy(zero_copy_only=False)
+        owners = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
+        k, s1, s2 = (batch.column(i).to_numpy() for i in range(3))
+        key, row, part, same = dealt(counters, keys, owners, k)
+        o = owners[row]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, k[o], s1[o], s2[o], np.ones(len(o), np.int32), np.zeros(len(o), np.int32), part, same)], names=names)
+
+
+def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE, least_weighted: float = LEAST_WEIGHTED) -> tuple[DataFrame, DataFrame]:
     """Pairs of different alike texts, and which rows hold each text.
 
     rows: any table with a unique bigint `key` and a string column `text`; further columns, whatever their names, are
     not read. Result: pairs (`a1`, `a2`, `b1`, `b2`, `share`, `weighted`) between content keys, with
-    the share of shingles in both and the weighted Jaccard similarity, and members (`id`, `k1`, `k2`), a row
+    the share of shingles in both (`least` or more) and the weighted Jaccard similarity (`least_weighted` or more: a
+    higher one asks for more than the definition of these tables), and members (`id`, `k1`, `k2`), a row
     for each input row with a bare text of 200 characters or more. Shorter, empty and null texts are never alike and are
     left out; rows with the same text share a content key and make no pair here. A null `key` is kept as a member. An
     empty table gives two empty tables.
@@ -186,18 +216,20 @@ def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body",
     members = scanned.where(F.col("slice").isNull()).select("id", "k1", "k2")
     counts, n = document_frequencies(scanned)
     idf = spark.sparkContext.broadcast(inverse_frequencies(counts, n))
-    banded = source.select("body").where(F.col("body").isNotNull()).mapInArrow(_banding(idf), "band long, k long").repartition("band").distinct()
-    met = (
-        banded.select("band", F.col("k").alias("a")).join(banded.select("band", F.col("k").alias("b")), "band")
-        .where("a < b").groupBy("a", "b").count().where(F.col("count") >= LEAST_BANDS)
-    )
     classes = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # each distinct text is sampled once
+    distinct = source.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    banded = written(distinct.select("body").mapInArrow(_banding(idf), _BANDED), "bands")
+    often = spark.sparkContext.broadcast(frequencies(banded, "bands"))
+    met = meeting(banded.mapInArrow(lambda batches: _spread(batches, often.value), ROWS))
 
     @F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("weighted", T.DoubleType())]))
     def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([pair_measures(x, y, idf.value) for x, y in zip(a, b)], columns=["share", "weighted"], dtype="float64")
+        known = lru_cache(256)(lambda t: weighted_shingles(t, idf.value))
+        return pd.DataFrame([measures(known(x), known(y)) for x, y in zip(a, b)], columns=["share", "weighted"], dtype="float64")
 
-    return checked_pairs(written(met.select("a", "b"), "met"), classes, source, least, measure), members
+    pairs = checked_pairs(written(met.select("a", "b"), "met"), classes, source, least, measure)
+    return pairs.where(F.col("weighted") >= least_weighted), members
 
 
 def alike_entries(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE) -> DataFrame:
