@@ -101,39 +101,52 @@ def hot_above(counters: np.ndarray) -> tuple[float, float]:
     return usual, HOT + 15 * spread
 
 
-#: A row per record and key: texts as numbers, units that the key stands for, units that a pair must share at least.
-ROWS = "key long, k long, s1 long, s2 long, units int, need int, part int, same boolean"
+#: A row per record and key; `meta` packs what the key stands for in units (7 bits from bit 20), the units that a pair must
+#: share at least (from bit 27), the part that a frequent key dealt the record to (19 bits from bit 1), and in bit 0
+#: whether the key brings the records of that part together (else those of two parts).
+ROWS = "key long, k long, s1 long, s2 long, meta long"
+_PART, _UNITS = (1 << 19) - 1, (1 << 7) - 1
+
+
+def row_batch(keys: np.ndarray, owners: np.ndarray, k: np.ndarray, s1: np.ndarray, s2: np.ndarray, units: np.ndarray, need: np.ndarray, counters: np.ndarray | None) -> pa.RecordBatch:
+    """Rows of records and their keys; with `counters`, frequent keys are dealt into parts."""
+    key, row, part, same = dealt(counters, keys, owners, k) if counters is not None else (keys, np.arange(len(keys)), 0, True)
+    o = owners[row]
+    meta = (need[o].astype(np.int64) << 27) | (np.minimum(units[row], _UNITS).astype(np.int64) << 20) | (part << 1) | same
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, k[o], s1[o], s2[o], meta)], names=["key", "k", "s1", "s2", "meta"])
 
 
 def dealt(counters: np.ndarray, keys: np.ndarray, owners: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of keys and the records that own them: (key, number of the row, part, same), frequent keys by parts."""
     usual, most = hot_above(counters)
     often = frequency(counters, keys).astype(np.float64) - usual
-    parts = np.maximum(1, np.ceil(np.where(often > most, 2 * often / most, 1))).astype(np.int64)
+    parts = np.minimum(_PART, np.maximum(1, np.ceil(np.where(often > most, 2 * often / most, 1)))).astype(np.int64)
     row = np.repeat(np.arange(len(keys)), parts)
     if len(row) == len(keys):
-        return keys, row, np.zeros(len(keys), np.int32), np.ones(len(keys), bool)
+        return keys, row, np.zeros(len(keys), np.int64), np.ones(len(keys), np.int64)
     n = parts[row]
     other = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(parts)])[:-1], parts)
     part = (mix(k[owners][row].view(U)) % n.astype(U)).astype(np.int64)
     low, high = np.minimum(part, other).astype(U), np.maximum(part, other).astype(U)
     split = mix(keys[row].view(U) + mix((low << U(32)) + high + U(1))).view(np.int64)
-    return np.where(n > 1, split, keys[row]), row, part.astype(np.int32), part == other
+    return np.where(n > 1, split, keys[row]), row, part, (part == other).astype(np.int64)
 
 
 def meeting(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Pairs (`a` < `b`, `shared`: units of the keys in common) whose sketches agree, of rows as in `ROWS`.
 
     With `held` (`key`, `k`, `s1`, `s2`), pairs of a row and a held one; else pairs of two rows. A pair counts when it
-    shares as many units as both of its records ask for (`need`).
+    shares as many units as both of its records ask for.
     """
-    x = rows.select("key", F.col("k").alias("x"), F.col("s1").alias("x1"), F.col("s2").alias("x2"), "units", F.col("need").alias("need_x"), *([] if held is not None else ["same", F.col("part").alias("part_x")]))
-    y = (rows if held is None else held).select("key", F.col("k").alias("y"), F.col("s1").alias("y1"), F.col("s2").alias("y2"), *([F.col("need").alias("need_y"), F.col("part").alias("part_y")] if held is None else [F.lit(0).alias("need_y")]))
+    x = rows.toDF("key", "x", "x1", "x2", "mx")
+    y = rows.toDF("key", "y", "y1", "y2", "my") if held is None else held.select("key", F.col("k").alias("y"), F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.lit(0).cast("long").alias("my"))
     apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")))
-    ordered = "x < y and (same or part_x != part_y)" if held is None else "x != y"
+    # records of one part meet under that part's own key only
+    once = F.expr("x != y") if held is not None else F.expr(f"x < y and ((mx & 1) = 1 or (mx & {_PART << 1}) != (my & {_PART << 1}))")
+    need = F.greatest(F.shiftright("mx", 27), F.shiftright("my", 27))
     return (
-        x.join(y, "key").where(ordered).where(apart <= BITS - LEAST_BITS)
+        x.join(y, "key").where(once).where(apart <= BITS - LEAST_BITS)
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.sum("units").alias("shared"), F.max(F.greatest("need_x", "need_y")).alias("_need"))
+        .agg(F.sum(F.shiftright("mx", 20).bitwiseAND(F.lit(_UNITS))).alias("shared"), F.max(need).alias("_need"))
         .where("shared >= _need").select("a", "b", "shared")
     )

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, RUN, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, code_points, mix, rolling, slices, window_owner
-from pagesift.llm._meet import ROWS, dealt, filled, frequencies, meeting, sketches
+from pagesift.llm._meet import ROWS, filled, frequencies, meeting, row_batch, sketches
 from pagesift.operators.dedup import components
 from pagesift.session import written
 
@@ -170,33 +170,34 @@ def measures(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray])
     return both.size / max(1, h.size + g.size - both.size), float(common / max(1e-9, wx.sum() + wy.sum() - common))
 
 
-_BANDED = "k long, s1 long, s2 long, bands array<long>"
+_BANDED = "id long, k long, s1 long, s2 long, bands array<long>"
 
 
 def _banding(idf_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf = idf_of.value
         for batch in batches:
-            texts = list(map(bare, batch.column(0).to_pylist()))
+            ids, texts = [], []
+            for i, t in zip(batch.column(0).to_pylist(), map(bare, batch.column(1).to_pylist())):
+                if len(t) >= LEAST_CHARS:
+                    ids.append(i)
+                    texts.append(t)
             for a, b in slices(texts):
                 bands, drawn = band_hashes(texts[a:b], idf), sketches(texts[a:b])
                 keys = pa.array([content_key(t)[0] for t in texts[a:b]], pa.int64())
                 offsets = pa.array(np.arange(b - a + 1, dtype=np.int32) * BINS)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(drawn[:, 0]), pa.array(drawn[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))], names=["k", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), keys, pa.array(drawn[:, 0]), pa.array(drawn[:, 1]), pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))], names=["id", "k", "s1", "s2", "bands"])
 
     return run
 
 
 def _spread(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in ROWS.split(", ")]
     for batch in batches:
         column = batch.column(3)
         keys = column.flatten().to_numpy(zero_copy_only=False)
         owners = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
         k, s1, s2 = (batch.column(i).to_numpy() for i in range(3))
-        key, row, part, same = dealt(counters, keys, owners, k)
-        o = owners[row]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, k[o], s1[o], s2[o], np.ones(len(o), np.int32), np.zeros(len(o), np.int32), part, same)], names=names)
+        yield row_batch(keys, owners, k, s1, s2, np.ones(len(keys), np.int64), np.zeros(len(k), np.int64), counters)
 
 
 def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE, least_weighted: float = LEAST_WEIGHTED) -> tuple[DataFrame, DataFrame]:
@@ -217,11 +218,11 @@ def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body",
     counts, n = document_frequencies(scanned)
     idf = spark.sparkContext.broadcast(inverse_frequencies(counts, n))
     classes = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    # each distinct text is sampled once
-    distinct = source.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    banded = written(distinct.select("body").mapInArrow(_banding(idf), _BANDED), "bands")
+    banded = written(source.mapInArrow(_banding(idf), _BANDED), "bands")
     often = spark.sparkContext.broadcast(frequencies(banded, "bands"))
-    met = meeting(banded.mapInArrow(lambda batches: _spread(batches, often.value), ROWS))
+    # each distinct text meets others once, by one of its rows
+    distinct = banded.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("k", "s1", "s2", "bands")
+    met = meeting(distinct.mapInArrow(lambda batches: _spread(batches, often.value), ROWS))
 
     @F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("weighted", T.DoubleType())]))
     def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
