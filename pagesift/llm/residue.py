@@ -30,12 +30,14 @@ from pagesift.session import written
 COUNTERS = 1 << 20
 SLICE = 1 << 13
 SALTS = 64
-#: Longest page core, in letters and digits, that may be a page template.
+#: Longest page core, in letters and digits, from which page templates are learned; pages of any length are judged.
 MOST_CORE = 260
 #: Runs of 4 characters with a Chinese one, of 8 otherwise.
 RUN_HAN, RUN_OTHER = 4, 8
 LEAST_RATIO, RATE_FLOOR = 2.0, 0.001
-LEAST_RUNS, LEAST_PART = 5, 0.2
+#: Part of a page that runs of page templates cover, in pages as short as those that teach them and in longer ones, and
+#: most of its runs that ordinary text may have.
+LEAST_COVERED, LEAST_COVERED_LONG, MOST_USUAL = 0.33, 0.6, 0.5
 CONTEXT = 5
 LEAST_FILLINGS = 2
 MOST_FILLER_LEFT = 0.4
@@ -54,6 +56,10 @@ _MAYBE = re.compile(
 # Words by which programs say that there is no value.
 _NO_VALUE = re.compile(r"(?<![\w.])(?:N/A undefined|\[object Object\]|undefined|null|NULL|None|NaN|nan|nil|NULL VALUE|#N/A|#REF!|#VALUE!)(?![\w])")
 
+#: A place left blank: it tells only between neighbours that hold different fillings elsewhere.
+_BLANK = re.compile(r"_{3,}|＿{2,}|【\s*】|［\s*］|（\s*）|\(\s*\)|《\s*》|\[\s*\](?!\()|\{\s*\}")
+BLANK = "blank"
+
 # Words of navigation, filler and messages.
 NAVIGATION = {"导航", "首页", "热门推荐", "相关推荐", "推荐阅读", "网站导航", "菜单", "menu", "home", "most read", "navigation", "related", "startseite", "accueil", "popular"}
 LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
@@ -86,24 +92,39 @@ def letters_of(text: str) -> str:
     return _LETTERS.sub("", text.lower())
 
 
-def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counter of each run of characters, and the number of its text. Digits are all alike."""
+def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counter of each run of characters, where it starts in all texts together, and its width. Digits are all alike."""
     points, starts = code_points(texts)
+    none = np.empty(0, np.int64)
     if not len(points):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return none, none, none
     points = np.where((points >= 48) & (points <= 57), 48, points)
     han = (points >= 0x3400) & (points < 0xA000)
     ahead = np.concatenate([[0], np.cumsum(han)])
-    out, owners = [], []
+    out, places, widths = [], [], []
     for width, wanted in ((RUN_HAN, True), (RUN_OTHER, False)):
-        at, owner = window_owner(starts, width)
+        at, _ = window_owner(starts, width)
         if not len(at):
             continue
         has = ahead[at + width] > ahead[at]
-        at, owner = at[has == wanted], owner[has == wanted]
+        at = at[has == wanted]
         out.append((mix(rolling(points, width, 5 + width))[at] & U(COUNTERS - 1)).astype(np.int64))
-        owners.append(owner)
-    return (np.concatenate(out), np.concatenate(owners)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+        places.append(at)
+        widths.append(np.full(len(at), width))
+    return (np.concatenate(out), np.concatenate(places), np.concatenate(widths)) if out else (none, none, none)
+
+
+def template_part(chars: str, template: np.ndarray, ordinary: np.ndarray) -> tuple[int, float, float]:
+    """Of letters: how many runs of page templates they have, which part of them such runs cover, and which part of all
+    runs ordinary text has too."""
+    runs, places, widths = _runs([chars])
+    if not len(runs):
+        return 0, 0.0, 1.0
+    odd = template[runs]
+    edges = np.zeros(len(chars) + 1, np.int64)
+    np.add.at(edges, places[odd], 1)
+    np.add.at(edges, places[odd] + widths[odd], -1)
+    return int(odd.sum()), float((np.cumsum(edges[:-1]) > 0).mean()), float(ordinary[runs].mean())
 
 
 def candidates(text: str) -> list[tuple[str, str, str, bool, bool]]:
@@ -116,6 +137,8 @@ def candidates(text: str) -> list[tuple[str, str, str, bool, bool]]:
     for m in _MAYBE.finditer(text):
         name = next(g for g in m.groups() if g is not None)
         found[m.start()] = (m.end(), name.strip().lower(), False, False)
+    for m in _BLANK.finditer(text):
+        found[m.start()] = (m.end(), BLANK, False, False)
     for m in _NO_VALUE.finditer(text):
         line = text[text.rfind("\n", 0, m.start()) + 1 : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
         found[m.start()] = (m.end(), m[0], False, len(re.findall(rf"(?<![\w.]){re.escape(m[0])}(?!\w)", line)) > 1)
@@ -184,24 +207,23 @@ def is_template_page(text: str | None, template: np.ndarray, ordinary: np.ndarra
     filler = sum(len(m[0]) for m in FILLER.finditer(page))
     if filler and filler >= MOST_FILLER_LEFT * len(page):
         return True
-    if not chars or len(chars) > MOST_CORE:
+    if not chars:
         return False
     if 2 * len(chars) < sum(not c.isspace() for c in page):
         return False  # not a text but garbled
-    runs = _runs([chars])[0]
-    if not len(runs):
-        return False
-    odd, usual = int(template[runs].sum()), float(ordinary[runs].mean())
-    if odd >= LEAST_RUNS and odd >= LEAST_PART * len(runs) and usual < 0.5:
+    odd, covered, usual = template_part(chars, template, ordinary)
+    if odd and usual < MOST_USUAL and covered >= (LEAST_COVERED if len(chars) <= MOST_CORE else LEAST_COVERED_LONG):
         return True
     # by its wording: some line is a message, and no other line is a sentence as ordinary pages have them
-    told = False
+    told = 0
     for line in page.split("\n"):
         if MESSAGE.search(line):
-            told = True
+            told += len(letters_of(line))
         elif _SENTENCE.search(line) and len(own := _runs([letters_of(line)])[0]) >= 5 and ordinary[own].mean() >= 0.4:
             return False
-    return told or (usual < 0.3 and bool(MESSAGE.search(page.replace("\n", " "))))
+    if len(chars) > MOST_CORE:  # a long page tells by most of its letters
+        return told > 0.5 * len(chars)
+    return told > 0 or (usual < 0.3 and bool(MESSAGE.search(page.replace("\n", " "))))
 
 
 def residue(rows: DataFrame, key: str = "entry_id", text: str = "body") -> DataFrame:
@@ -221,7 +243,7 @@ def residue(rows: DataFrame, key: str = "entry_id", text: str = "body") -> DataF
     right = kept.groupBy("hi").agg(F.approx_count_distinct("name").alias("_n")).where(F.col("_n") >= LEAST_FILLINGS).select("hi", F.lit(True).alias("slot_right"))
     # neighbours between which sure notations stand; a bare start of a line is none
     sure = kept.where(F.col("sure") & F.col("lo").rlike(r"^.{3,}$")).groupBy("lo").agg(F.approx_count_distinct("name").alias("_n")).where(F.col("_n") >= LEAST_FILLINGS).select("lo", F.lit(True).alias("slot_sure"))
-    is_word = F.col("name").rlike(f"^(?:{_NO_VALUE.pattern})$")
+    is_word = F.col("name").rlike(f"^(?:{_NO_VALUE.pattern})$") | (F.col("name") == BLANK)
     slots = (
         kept.join(names, "name", "left").join(left, "lo", "left").join(right, "hi", "left").join(sure, "lo", "left")
         .where(F.col("sure") | (~is_word & (F.col("known") | F.col("slot_sure"))) | (is_word & (F.col("again") | (F.col("slot_left") & F.col("slot_right")))))
