@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pagesift.llm._chars import U, letters, mix, slices
 
 SPAN = 24
-#: Positions that count (1) and that are ignored (0); the first mask ignores none.
-MASKS = ("1" * 24, "110110100111001011011011", "101101110010110100111101")
+#: Positions that count (1) and that are ignored (0).
+MASKS = ("110110100111001011011011", "101101110010110100111101", "111001011101101001101101")
 LEAST_RUN = 50
 #: Up to so many evaluation characters the passages go to all executors; beyond, hashes are joined by shuffle.
-MOST_SENT = 20_000_000
+MOST_SENT = 1_000_000
 _FILTER_BITS = 22
 
 

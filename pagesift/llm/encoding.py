@@ -3,9 +3,10 @@
 A hidden Markov model with one clean state and one state per pair of encodings labels the characters of each line; each
 labelled span gets the inverse transform of its state, and counts when the result is more likely than the span.
 
-Emissions are trained here: a bounded sample of rows gives the clean character frequencies; the same text, written in one
-encoding of a pair and read in the other, gives the frequencies of the pair's state. Lines that the first model labels are
-left out of a second training. ASCII says almost nothing and is next to neutral in every state, so only other characters
+Emissions are trained here: the text of a bounded sample of rows, written in one encoding of a pair and read in the other,
+gives the frequencies of the pair's state. Lines that the first model labels are left out of a second training. The clean
+frequencies are those of all rows, without the lines that the trained model suspects, so that scripts and rare characters
+that the sample happens to lack are known. ASCII says almost nothing and is next to neutral in every state, so only other characters
 are counted. Moving between states costs `SWITCH`; states change over the clean one only, and a line ends in it.
 
 Most lines never reach the model: the best that any path can gain over the clean one is the sum of a line's positive
@@ -56,6 +57,8 @@ PAIRS: tuple[tuple[tuple[str, str], ...], ...] = (
 #: Rows of the bounded training sample.
 SAMPLE_ROWS = 1500
 SWITCH = 3.0
+#: Characters of lines that are labelled together; each takes some 30 bytes.
+CELLS = 400_000
 ASCII_RATIO = -0.02
 CLEAN_FLOOR, STATE_FLOOR = 2e-6, 1e-7
 LOST = "�"
@@ -69,6 +72,9 @@ _SYMBOLS = 0x110000 + _LOW
 _1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256))
 _BYTES_1252 = codecs.charmap_build(_1252)
 _RUN = re.compile(r"[^\x00-\x7f]{3}")
+#: The one pair that leaves single characters, and characters beyond ASCII that stand by no Latin letter.
+_SINGLE = (("1252", "gbk"),)
+_BESIDE = re.compile(r"(?<![A-Za-z\-])[^\x00-\x7f](?![A-Za-z\-])|[^\x00-\x7f]{2}")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 
 
@@ -166,8 +172,11 @@ def labels(model: Model, lines: list[str]) -> list[np.ndarray]:
     order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
     out: list[np.ndarray] = [np.empty(0, np.int16)] * len(lines)
     s = len(PAIRS)
-    for a in range(0, len(order), 256):
-        group = [i for i in order[a : a + 256] if lines[i]]
+    a = 0
+    while a < len(order):
+        # so many lines together that their characters, at the longest one's length, stay within bounds
+        b = a + max(1, min(256, CELLS // max(1, len(lines[order[a]]))))
+        group, a = [i for i in order[a:b] if lines[i]], b
         if not group:
             continue
         longest = len(lines[group[0]])
@@ -253,6 +262,8 @@ def restore(model: Model, span: str, state: int) -> tuple[bool, str]:
             # valid sequences are hard to meet by chance
             if after - before > 4 + 2 * text.count(LOST) and (m > 2 or after > -10.5 * m):
                 return True, text
+        elif pair == _SINGLE and not _BESIDE.search(span) and n <= 2 * m and after - before > 4.0 * n and after > -9.5 * m:
+            return True, text  # accented letters swallow the letter that follows: single characters inside of words
         # any bytes make some text in other encodings: the text must be a common one, by many characters
         elif n >= 4 and m >= 2 and after - before > 2.0 * n and after > -9.0 * m and _RUN.search(span):
             return True, text
@@ -308,21 +319,56 @@ def repaired(model: Model, lines: list[str]) -> tuple[list[str], dict[int, int]]
     return lines, had
 
 
+def _clean_symbols(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen = sent.value, np.zeros(_SYMBOLS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                lines = [x for t in texts[a:b] for x in HEADER.sub("", t, count=1).split("\n") if not x.isascii()]
+                skip = set(suspicious(model, lines).tolist())
+                points = code_points(["\n".join(x for i, x in enumerate(lines) if i not in skip)])[0]
+                seen += np.bincount(symbols(points), minlength=_SYMBOLS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["symbol", "n"])
+
+    return run
+
+
+def recounted(model: Model, counts: dict[int, int]) -> Model:
+    """The model with clean frequencies counted over all data; those of the states stay."""
+    base = np.zeros(_SYMBOLS)
+    base[list(counts)] = list(counts.values())
+    base[:128] = 0
+    clean = np.log(np.maximum(base / max(1.0, base.sum()), CLEAN_FLOOR)).astype(np.float32)
+    for first in (0x80, 0x110080):
+        clean[first : first + 0x20] = np.log(CLEAN_FLOOR / 100)
+    columns = np.flatnonzero(model.index[128:]) + 128
+    ratio = model.ratio.copy()
+    ratio[:, model.index[columns]] += model.clean[columns] - clean[columns]
+    best = np.maximum(ratio.max(axis=0), 0)[model.index].astype(np.float32)
+    best[:128] = 0
+    return Model(clean, ratio, best, model.index)
+
+
 def garbled(rows: DataFrame, key: str = "entry_id", text: str = "body", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows with a wrongly decoded stretch: (`key`, `stretches`, `restored`).
 
     rows: a table with a bigint `key` and a string `text`, and any other columns. A leading header line does not count.
     restored: the text with every stretch put right where it can be, U+FFFD where bytes were lost. Null and empty texts
-    have no stretches; a table without text gives an empty result. The model is trained on `sample_rows` rows, those with
-    the least hash of their key, so the same table gives the same model. Each line is handled for itself; a very long line
-    takes memory in proportion to its length.
+    have no stretches; a table without text gives an empty result. The states of the model are trained on `sample_rows`
+    rows, those with the least hash of their key, so the same table gives the same model. Each line is handled for itself;
+    a line of a million characters takes some 30 MB.
     """
     source = rows.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     # first those that may be among the least hashes, so that no task hands on more than its part of the sample
     share = min(1.0, 2.0 * sample_rows / max(1, source.count()))
     likely = source.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20))))
     sample = [r[0] for r in likely.orderBy(F.pmod(F.xxhash64("key"), F.lit(1 << 20)), "key", "text").limit(sample_rows).select("text").collect()]
-    sent = rows.sparkSession.sparkContext.broadcast(train(sample))
+    context, model = rows.sparkSession.sparkContext, train(sample)
+    # rows of the histogram: as many as there are different characters
+    counts = source.select("text").mapInArrow(_clean_symbols(context.broadcast(model)), "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    sent = context.broadcast(recounted(model, {r["symbol"]: r["n"] for r in counts.collect()}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
