@@ -27,14 +27,23 @@ def cleaned(observations: DataFrame) -> DataFrame:
     return observations.select("obs_id", learner_host("host").alias("host"), F.coalesce("fetch_ok", F.lit(False)).alias("fetch_ok"), score.alias("score"), F.coalesce(F.col("template_hit") | F.col("garbled_hit"), F.lit(False)).alias("bad"), F.when(F.col("latency") > 0, F.col("latency")).alias("latency"), F.col("observed_at").cast("timestamp").alias("observed_at")).where("host != ''").dropDuplicates(["obs_id"])
 
 
+def judgement(n, ok, avg, low, slow) -> list[tuple]:
+    """The table of the judgement (H2): (condition, penalty or reward), of which the first that holds counts, else 0.
+
+    Of columns or of numbers. `low` may count an observation twice, for its score and for its marks.
+    """
+    return [
+        (n < LEAST_N, 0.0), (((ok == 0) & (n >= 8)) | (ok / n < FETCH_RATE), -0.5), ((avg < LOW_SCORE) & (low / n > LOW_RATE), -0.4),
+        (slow > SLOW, -0.3), ((avg > 0.7) & (n >= 10), 0.1),
+    ]
+
+
 def judge(n: Column, ok: Column, score_sum: Column, low: Column, lat_sum: Column, lat_n: Column) -> Column:
-    """Penalty or reward of a host (H2). `low` may count an observation twice, for its score and for its marks."""
+    """Penalty or reward of a host by the table."""
     avg = F.when(ok > 0, score_sum / ok).otherwise(0.0)
     slow = F.when(lat_n > 0, lat_sum / lat_n).otherwise(0.0)
-    return (
-        F.when(n < LEAST_N, 0.0).when((ok == 0) & (n >= 8), -0.5).when(ok / n < FETCH_RATE, -0.5).when((avg < LOW_SCORE) & (low / n > LOW_RATE), -0.4)
-        .when(slow > SLOW, -0.3).when((avg > 0.7) & (n >= 10), 0.1).otherwise(0.0)
-    )
+    rules = [F.when(holds, delta) for holds, delta in judgement(n, ok, avg, low, slow)]
+    return F.coalesce(*rules, F.lit(0.0))
 
 
 def host_stats(observations: DataFrame) -> DataFrame:
@@ -82,16 +91,8 @@ class HostState:
             self.delta, self.changes = delta, self.changes + 1
 
     def judged(self) -> float:
-        avg = self.score_sum / self.ok if self.ok else 0.0
-        if self.n < LEAST_N:
-            return 0.0
-        if (self.ok == 0 and self.n >= 8) or self.ok / self.n < FETCH_RATE:
-            return -0.5
-        if avg < LOW_SCORE and self.low / self.n > LOW_RATE:
-            return -0.4
-        if self.lat_n and self.lat_sum / self.lat_n > SLOW:
-            return -0.3
-        return 0.1 if avg > 0.7 and self.n >= 10 else 0.0
+        avg, slow = self.score_sum / max(1, self.ok) * (self.ok > 0), self.lat_sum / max(1, self.lat_n)
+        return next((delta for holds, delta in judgement(self.n, self.ok, avg, self.low, slow) if holds), 0.0)
 
 
 STATE = "n long, ok long, score_sum double, low long, lat_sum double, lat_n long, last double, delta double, changes long"

@@ -176,7 +176,7 @@ select entry_id, case when s = '' then '' when h = '' or (port <> '' and not reg
   else h || case when port = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then '' else ':' || port end || case when pp = '' then '/' else pp end || case when qq <> '' then '?' || qq else '' end end as page
 from joined"""
 SQL["s8_known_pages"] = f"""with u as ({SQL['u3_comparable']}), f as (select nurl, min(round_no) as known_round from ledger_entry where nurl <> '' group by 1)
-select entry_id, known_round from u left join f on f.nurl = u.page where entry_id % 7 = 0"""
+select entry_id, known_round from u left join f on f.nurl = u.page"""
 SQL["u4_u7_classes"] = f"select url, {blacklisted('url')} as blacklisted, {tier('url')} as tier, {soup('url')} as soup, {mill('url')} as mill from {ALL_ADDRESSES}"
 SQL["u8_suffix_weights"] = f"""with h as (select distinct {host('url')} as host from {ALL_ADDRESSES})
 select host, coalesce(max_by(weight, length(domain)), 1.0) as weight from h left join {weights({**tables.HOST_WEIGHTS, 'gov.test': 1.4, 'edu.test': 1.3, 'com.example': 0.8, 'cn.example': 0.7})} on ends_with('.' || host, '.' || domain) where host <> '' group by host"""

@@ -14,7 +14,7 @@ from pagesift.operators import conflicts, dedup, learning, ranking
 from pagesift.session import written
 
 
-def deep_search(items: DataFrame, batches: DataFrame, candidates: DataFrame, ledger: DataFrame, stats: DataFrame, as_of: str, config: Config = Config(), decoys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+def search_plan(items: DataFrame, batches: DataFrame, candidates: DataFrame, ledger: DataFrame, stats: DataFrame, as_of: str, config: Config = Config(), decoys: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Delivered sources of each batch: (`batch_id`, `n`, `item_id`, `url`, `score`, `authority`, `coverage`, `rank_score`,
     `weak_core`, `date`, `status`, `shown`, `self_conflict`, `conflicts`).
 

@@ -11,7 +11,7 @@ from pagesift import tables
 from pagesift.config import Config
 from pagesift.functions import dates, documents, relevance, similarity, text, urls
 from pagesift.operators import conflicts, dedup, evaluation, learning, ranking
-from pagesift.plans.pipeline import deep_search
+from pagesift.plans.pipeline import search_plan
 from pagesift.session import table, written
 from pagesift.sources import readers, writers
 
@@ -362,7 +362,7 @@ def t2_page_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t4_reflow(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", documents.reflowed("text").alias("t")).select("doc_id", F.length("t").alias("n"), F.md5(F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+", "")).alias("letters"))
+    return table(spark, d, "documents").select("doc_id", documents.reflowed("text").alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("hash"))
 
 
 def t5_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -401,8 +401,8 @@ def snk1_archives(spark: SparkSession, d: str) -> DataFrame:
     return writers.archives(items, table(spark, d, "search_batch")).select("batch_id", "name", F.length("markdown").alias("n"))
 
 
-def deep_search_all(spark: SparkSession, d: str) -> DataFrame:
-    return deep_search(table(spark, d, "fetched_item"), table(spark, d, "search_batch"), table(spark, d, "candidate"), table(spark, d, "ledger_entry").select("nurl", "round_no", "body"), learning.host_stats(table(spark, d, "observation")), AS_OF, decoys=DECOYS)
+def whole_search(spark: SparkSession, d: str) -> DataFrame:
+    return search_plan(table(spark, d, "fetched_item"), table(spark, d, "search_batch"), table(spark, d, "candidate"), table(spark, d, "ledger_entry").select("nurl", "round_no", "body"), learning.host_stats(table(spark, d, "observation")), AS_OF, decoys=DECOYS)
 
 
 QUERIES = (
@@ -410,7 +410,7 @@ QUERIES = (
     v1_v5_relevance, v6_coverage, v7_title_mismatch, r1_meta_rank, r6_authority, r8_rank_items, r10_zero_coverage, r11_top, r12_truncate, r13_fetch_window, r14_interleave, r15_demote, r19_primary_text, r20_quota,
     s2_containment, s4_slices, s5_simhash, s6_hamming, s7_clusters, a8_cluster_stats, s8_known_pages, s9_known_bodies, l1_record, l2_evict, h1_host_stats, h3_folded_stats, h4_stream, h5_capped_hosts, h6_deltas, h7_observed,
     a1_engines, a2_conflicts, a2_self_conflicts, a3_replay, a4_regressions, a5_grid, a6_leave_one_out, a7_attachments, a9_profile, t1_dates, t2_page_dates, t4_reflow, t5_titles, t7_digests, t9_pdf_payloads, t11_sections,
-    src5_first_success, snk1_archives, snk6_summary, deep_search_all,
+    src5_first_success, snk1_archives, snk6_summary, whole_search,
 )
 
 

@@ -11,7 +11,7 @@ def test_known_pages_of_all_entries(spark, tmp_path):
     assert len(got) == len(want) == 32 and set(got) == want
 
 
-def test_deep_search_knows_every_round_and_body(spark, tmp_path):
+def test_whole_search_knows_every_round_and_body(spark, tmp_path):
     def article(k):
         return "".join(f"钠离子电芯的第{k * 31 + i * 7}项测试由第{k * 17 + i}实验室完成，循环寿命达到{k * 900 + i * 13}次，容量保持率为{60 + (k * 5 + i) % 40}%；" + chr(0x4E00 + k * 400 + i * 9) * 2 + f"研究所认为市场规模约为{k + 1}亿元。\n\n" for i in range(24))
 
@@ -25,5 +25,5 @@ def test_deep_search_knows_every_round_and_body(spark, tmp_path):
     # delivered before: pages 1 and 2 by address, in rounds 3 and 5; page 3 by body, under another address
     save("ledger_entry", [(1, 3, "h1.example/news/2024/a1.html", ""), (2, 5, "h2.example/news/2024/a2.html", None), (3, 4, "mirror.example/x", "导语。" + article(3)), (4, 2, "mirror.example/y", article(3))], "entry_id long, round_no int, nurl string, body string")
     save("observation", [], "obs_id long, host string, fetch_ok boolean, score double, template_hit boolean, garbled_hit boolean, latency double, observed_at timestamp")
-    got = queries.deep_search_all(spark, str(tmp_path)).collect()
+    got = queries.whole_search(spark, str(tmp_path)).collect()
     assert {r.item_id for r in got} == {0, 4, 5}
