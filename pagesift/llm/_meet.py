@@ -26,8 +26,8 @@ from pagesift.llm._chars import U, code_points, mix, rolling, window_owner
 BITS = 128
 LEAST_BITS = 86
 COUNTERS = 1 << 18
-SLICE = 1 << 12
-SALTS = 64
+SLICE = 1 << 14
+SALTS = 256
 #: Records of a key that meet in one task.
 HOT = 1000
 _DRAWS = 40
@@ -80,12 +80,18 @@ def _added(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "salt": [0], "counts": [total.astype("<u8").tobytes()]})
 
 
+def summed(parts: DataFrame, keys: list[str], form: str, added) -> list:
+    """Rows of `parts` added up per key by `added`; in two steps, the first by part of the input, where there are many."""
+    if parts.rdd.getNumPartitions() > SALTS:
+        parts = parts.withColumn("salt", F.spark_partition_id() % SALTS).groupBy(*keys, "salt").applyInPandas(added, form)
+    return parts.withColumn("salt", F.lit(0)).groupBy(*keys).applyInPandas(added, form).collect()
+
+
 def frequencies(rows: DataFrame, column: str) -> np.ndarray:
     """Counters of all keys in an array column of a table, added up in two steps before they reach the driver (2 MB)."""
     form = "slice int, salt int, counts binary"
-    parts = rows.select(column).mapInArrow(_count, "slice int, counts binary").withColumn("salt", F.spark_partition_id() % SALTS)
     out = np.zeros(COUNTERS, np.uint64)
-    for r in parts.groupBy("slice", "salt").applyInPandas(_added, form).groupBy("slice").applyInPandas(_added, form).collect():
+    for r in summed(rows.select(column).mapInArrow(_count, "slice int, counts binary"), ["slice"], form, _added):
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<u8")
     return out
 

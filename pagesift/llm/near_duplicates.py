@@ -36,13 +36,12 @@ from pyspark.sql import types as T
 
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, RUN, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, code_points, mix, rolling, slices, window_owner
-from pagesift.llm._meet import ROWS, filled, frequencies, meeting, row_batch, sketches
+from pagesift.llm._meet import ROWS, filled, frequencies, meeting, row_batch, sketches, summed
 from pagesift.operators.dedup import components
 from pagesift.session import written
 
 COUNTERS = 1 << 18
-SLICE = 1 << 10
-SALTS = 64
+SLICE = 1 << 14
 IDF_FLOOR = 0.003
 REPEATS = 3
 BINS = 48
@@ -113,8 +112,7 @@ def document_frequencies(scanned: DataFrame) -> tuple[np.ndarray, int]:
     What comes to the driver is 2**18 numbers, whatever the data.
     """
     form = "slice int, salt int, counts binary, texts long"
-    parts = scanned.where(F.col("slice").isNotNull()).select("slice", (F.spark_partition_id() % SALTS).alias("salt"), "counts", "texts")
-    rows = parts.groupBy("slice", "salt").applyInPandas(_added, form).groupBy("slice").applyInPandas(_added, form).collect()
+    rows = summed(scanned.where(F.col("slice").isNotNull()).select("slice", "counts", "texts"), ["slice"], form, _added)
     counts, n = np.zeros(COUNTERS, np.uint64), 0
     for r in rows:
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<u8")

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift.llm._chars import U, code_points, mix, rolling, slices, window_owner, without_header
+from pagesift.llm._meet import summed
 from pagesift.session import written
 
 COUNTERS = 1 << 20
-SLICE = 1 << 13
-SALTS = 64
+SLICE = 1 << 16
 #: Longest page core, in letters and digits, from which page templates are learned; pages of any length are judged.
 MOST_CORE = 260
 #: Runs of 4 characters with a Chinese one, of 8 otherwise.
@@ -185,14 +185,15 @@ def _added(parts: pd.DataFrame) -> pd.DataFrame:
 def page_template_runs(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Which counters stand for runs of page templates, and which for runs of ordinary text."""
     form = "part int, salt int, short binary, long binary, shorts long, longs long"
-    parts = scanned.where(F.col("part").isNotNull()).select("part", (F.spark_partition_id() % SALTS).alias("salt"), "short", "long", "shorts", "longs")
+    parts = scanned.where(F.col("part").isNotNull()).select("part", "short", "long", "shorts", "longs")
     short, long_, n, m = np.zeros(COUNTERS), np.zeros(COUNTERS), 0, 0
-    for r in parts.groupBy("part", "salt").applyInPandas(_added, form).groupBy("part").applyInPandas(_added, form).toLocalIterator():
+    for r in summed(parts, ["part"], form, _added):
         at = slice(r["part"] * SLICE, (r["part"] + 1) * SLICE)
         short[at], long_[at] = np.frombuffer(r["short"], "<u8"), np.frombuffer(r["long"], "<u8")
         n, m = n + r["shorts"], m + r["longs"]
     often, usual = short / max(1, n), long_ / max(1, m)
-    return (short >= 3) & (often >= LEAST_RATIO * (usual + RATE_FLOOR)), usual > 2 * RATE_FLOOR
+    template = (short >= 3) & (often >= LEAST_RATIO * (usual + RATE_FLOOR))
+    return template, (usual > 2 * RATE_FLOOR) & ~template
 
 
 def is_template_page(text: str | None, template: np.ndarray, ordinary: np.ndarray) -> bool:

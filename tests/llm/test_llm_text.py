@@ -83,14 +83,54 @@ def test_link_spam(spark, corpus):
     assert link_spam.stuffed(df.where("false")).count() == 0
 
 
+PROSE = {
+    "es": "El informe señala que las ventas de la empresa bajaron durante el segundo trimestre, pero los directivos esperan que la demanda se recupere antes de que termine el año, cuando entren en servicio las nuevas plantas.",
+    "pt": "O relatório mostra que as vendas da empresa caíram no segundo trimestre, mas os diretores esperam que a procura volte a subir antes do fim do ano, quando as novas fábricas começarem a funcionar.",
+    "it": "La relazione mostra che le vendite della società sono scese nel secondo trimestre, ma i dirigenti prevedono che la domanda torni a crescere prima della fine dell'anno, quando apriranno i nuovi impianti.",
+    "pl": "Z raportu wynika, że sprzedaż firmy spadła w drugim kwartale, ale zarząd liczy na to, że popyt wzrośnie jeszcze przed końcem roku, kiedy ruszą nowe zakłady, na które czeka cały rynek.",
+    "ru": "В отчёте говорится, что продажи компании во втором квартале снизились, но руководство надеется, что спрос вырастет ещё до конца года, когда будут пущены новые заводы, которых ждёт рынок.",
+}
+
+
+def test_prose_of_other_languages(spark, corpus):
+    """Sentences of languages without a word list are no keywords, learned or not; keyword pages in them are still found."""
+    rows = [(i, t, ("zh", "en", "de")[i % 3]) for i, t in corpus]
+    for k, (lang, t) in enumerate(PROSE.items()):
+        rows += [(1000 + 100 * k + n, "\n\n".join([t, " ".join(reversed(t.split())), t[: 60 + n] + "."]), lang) for n in range(1 if lang in ("it", "ru") else 30)]
+    rows.append((2000, PROSE["ru"], None))
+    rows.append((3000, "zapato barato, zapato rojo, zapato niño, zapato mujer, zapato oferta, zapato online, zapato cuero, comprar zapato, " * 3, "es"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in link_spam.stuffed(df).collect()} == {3000}
+
+
+def test_blanks_and_long_pages(spark, corpus):
+    filled = [(i, t + f"\n\n尊敬的{name}，您的订单已经发出。") for (i, t), name in zip(corpus[:60:3], ["{{name}}", "【】", "{{user}}", "（ ）"] * 5)]
+    page = "本站正在进行系统维护，给您带来不便敬请谅解，维护期间暂停访问请稍后再来。"
+    pages = [(5000 + k, f"# 标题{k}\n\n{page}") for k in range(12)] + [(5100, "\n\n".join([page] * 12))]
+    df = spark.createDataFrame([r for r in corpus if r[0] not in {i for i, _ in filled}] + filled + pages, "entry_id long, body string")
+    got = {r.entry_id for r in residue.residue(df).collect()}
+    assert got == {i for i, _ in filled} | {i for i, _ in pages}
+
+
+def test_single_characters_inside_words(spark, corpus):
+    rows, wrong = [], set()
+    for i, t in corpus:
+        if i % 3 == 2 and i % 4 == 0:
+            t = encoding.garble(t, (("1252", "gbk"),))
+            wrong.add(i)
+        rows.append((i, t))
+    got = {r.entry_id for r in encoding.garbled(spark.createDataFrame(rows, "entry_id long, body string")).collect()}
+    assert not got - wrong and len(got) >= 0.9 * len(wrong)
+
+
 def test_keywords_without_separators():
     """One run ten times among many different characters or words is a keyword line, an ordinary sentence is not."""
     zh = "".join("不锈钢管" + w for w in ("厂家", "价格", "批发", "规格", "定制", "加工", "现货", "采购", "标准", "重量"))
     en = " ".join(f"steel pipe {w}" for w in ("price", "maker", "sale", "stock")) + " with twelve further words that each stand here once and raise different"
     assert len(zh) == 60 and len(set(zh)) > 0.3 * len(zh) and len(set(en.split())) > 0.7 * len(en.split())
-    assert link_spam.stuffed_share(zh, {})[0] == 1.0 and link_spam.stuffed_share(en, {})[0] == 1.0
+    assert link_spam.stuffed_share(zh, link_spam.Limits())[0] == 1.0 and link_spam.stuffed_share(en, link_spam.Limits())[0] == 1.0
     prose = "研究人员在三个地区连续两年收集了河流沉积物样本，并且比较了它们在旱季与雨季的重金属含量，发现下游城市附近的浓度明显高于上游山区。"
-    assert link_spam.stuffed_share(prose, {})[0] == 0.0
+    assert link_spam.stuffed_share(prose, link_spam.Limits())[0] == 0.0
 
 
 def test_water_filling():
