@@ -114,17 +114,17 @@ ROWS = "key long, k long, s1 long, s2 long, meta long"
 _PART, _UNITS = (1 << 19) - 1, (1 << 7) - 1
 
 
-def row_batch(keys: np.ndarray, owners: np.ndarray, k: np.ndarray, s1: np.ndarray, s2: np.ndarray, units: np.ndarray, need: np.ndarray, counters: np.ndarray | None) -> pa.RecordBatch:
-    """Rows of records and their keys; with `counters`, frequent keys are dealt into parts."""
-    key, row, part, same = dealt(counters, keys, owners, k) if counters is not None else (keys, np.arange(len(keys)), 0, True)
+def row_batch(keys: np.ndarray, owners: np.ndarray, k: np.ndarray, s1: np.ndarray, s2: np.ndarray, units: np.ndarray, need: np.ndarray, counters: np.ndarray, limits: tuple[float, float] | None) -> pa.RecordBatch:
+    """Rows of records and their keys; with `limits` (`hot_above`), frequent keys are dealt into parts."""
+    key, row, part, same = dealt(counters, limits, keys, owners, k) if limits else (keys, np.arange(len(keys)), 0, True)
     o = owners[row]
     meta = (need[o].astype(np.int64) << 27) | (np.minimum(units[row], _UNITS).astype(np.int64) << 20) | (part << 1) | same
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, k[o], s1[o], s2[o], meta)], names=["key", "k", "s1", "s2", "meta"])
 
 
-def dealt(counters: np.ndarray, keys: np.ndarray, owners: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def dealt(counters: np.ndarray, limits: tuple[float, float], keys: np.ndarray, owners: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of keys and the records that own them: (key, number of the row, part, same), frequent keys by parts."""
-    usual, most = hot_above(counters)
+    usual, most = limits
     often = frequency(counters, keys).astype(np.float64) - usual
     parts = np.minimum(_PART, np.maximum(1, np.ceil(np.where(often > most, 2 * often / most, 1)))).astype(np.int64)
     row = np.repeat(np.arange(len(keys)), parts)

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, RUN, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, code_points, mix, rolling, slices, window_owner
-from pagesift.llm._meet import ROWS, filled, frequencies, meeting, row_batch, sketches, summed
+from pagesift.llm._meet import ROWS, filled, frequencies, hot_above, meeting, row_batch, sketches, summed
 from pagesift.operators.dedup import components
 from pagesift.session import written
 
@@ -189,13 +189,13 @@ def _banding(idf_of):
     return run
 
 
-def _spread(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], counters: np.ndarray, limits: tuple[float, float]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(3)
         keys = column.flatten().to_numpy(zero_copy_only=False)
         owners = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
         k, s1, s2 = (batch.column(i).to_numpy() for i in range(3))
-        yield row_batch(keys, owners, k, s1, s2, np.ones(len(keys), np.int64), np.zeros(len(k), np.int64), counters)
+        yield row_batch(keys, owners, k, s1, s2, np.ones(len(keys), np.int64), np.zeros(len(k), np.int64), counters, limits)
 
 
 def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body", least: float = LEAST_SHARE, least_weighted: float = LEAST_WEIGHTED) -> tuple[DataFrame, DataFrame]:
@@ -217,10 +217,11 @@ def near_duplicates(rows: DataFrame, key: str = "entry_id", text: str = "body",
     idf = spark.sparkContext.broadcast(inverse_frequencies(counts, n))
     classes = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     banded = written(source.mapInArrow(_banding(idf), _BANDED), "bands")
-    often = spark.sparkContext.broadcast(frequencies(banded, "bands"))
+    counters = frequencies(banded, "bands")
+    often = spark.sparkContext.broadcast((counters, hot_above(counters)))
     # each distinct text meets others once, by one of its rows
     distinct = banded.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("k", "s1", "s2", "bands")
-    met = meeting(distinct.mapInArrow(lambda batches: _spread(batches, often.value), ROWS))
+    met = meeting(distinct.mapInArrow(lambda batches: _spread(batches, *often.value), ROWS))
 
     @F.pandas_udf(T.StructType([T.StructField("share", T.DoubleType()), T.StructField("weighted", T.DoubleType())]))
     def measure(a: pd.Series, b: pd.Series) -> pd.DataFrame:
