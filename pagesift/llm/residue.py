@@ -114,17 +114,20 @@ def _runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(places), np.concatenate(widths)) if out else (none, none, none)
 
 
-def template_part(chars: str, template: np.ndarray, ordinary: np.ndarray) -> tuple[int, float, float]:
-    """Of letters: how many runs of page templates they have, which part of them such runs cover, and which part of all
-    runs ordinary text has too."""
-    runs, places, widths = _runs([chars])
-    if not len(runs):
-        return 0, 0.0, 1.0
-    odd = template[runs]
-    edges = np.zeros(len(chars) + 1, np.int64)
-    np.add.at(edges, places[odd], 1)
-    np.add.at(edges, places[odd] + widths[odd], -1)
-    return int(odd.sum()), float((np.cumsum(edges[:-1]) > 0).mean()), float(ordinary[runs].mean())
+def template_parts(texts: list[str], template: np.ndarray, ordinary: np.ndarray) -> list[tuple[int, float, float]]:
+    """Of the letters of each text: how many runs of page templates they have, which part of them such runs cover, and
+    which part of all runs ordinary text has too (1 for a text without runs)."""
+    runs, places, widths = _runs(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    owners = np.searchsorted(starts, places, "right") - 1
+    odd, n = template[runs], starts[-1]
+    covered = np.cumsum(np.bincount(places[odd], minlength=n + 1)[: n + 1] - np.bincount(places[odd] + widths[odd], minlength=n + 1)[: n + 1]) > 0
+    upto = np.concatenate([[0], np.cumsum(covered)])
+    many = np.bincount(owners, minlength=len(texts))
+    usual = np.where(many > 0, np.bincount(owners, ordinary[runs], len(texts)) / np.maximum(1, many), 1.0)
+    part = (upto[starts[1:]] - upto[starts[:-1]]) / np.maximum(1, lengths)
+    return list(zip(np.bincount(owners[odd], minlength=len(texts)).tolist(), part.tolist(), usual.tolist()))
 
 
 def candidates(text: str) -> list[tuple[str, str, str, bool, bool]]:
@@ -196,12 +199,10 @@ def page_template_runs(scanned: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return template, (usual > 2 * RATE_FLOOR) & ~template
 
 
-def is_template_page(text: str | None, template: np.ndarray, ordinary: np.ndarray) -> bool:
-    """Whether a page, apart from title and navigation, is a message, default page or filler."""
-    page = core(text)
+def is_template_page(page: str, chars: str, parts: tuple[int, float, float], ordinary: np.ndarray) -> bool:
+    """Whether a page is a message, default page or filler, by its core, the letters of it and their `template_parts`."""
     if not page:
         return False
-    chars = letters_of(page)
     words = re.findall(r"[a-z]+", page.lower()) if page.isascii() else re.findall(r"[^\W\d_]+", page.lower())
     if len(words) >= 8 and sum(w in LOREM for w in words) >= 0.7 * len(words):
         return True
@@ -212,9 +213,11 @@ def is_template_page(text: str | None, template: np.ndarray, ordinary: np.ndarra
         return False
     if 2 * len(chars) < sum(not c.isspace() for c in page):
         return False  # not a text but garbled
-    odd, covered, usual = template_part(chars, template, ordinary)
+    odd, covered, usual = parts
     if odd and usual < MOST_USUAL and covered >= (LEAST_COVERED if len(chars) <= MOST_CORE else LEAST_COVERED_LONG):
         return True
+    if len(chars) > MOST_CORE and usual >= MOST_USUAL:
+        return False  # most of it is as ordinary text
     # by its wording: some line is a message, and no other line is a sentence as ordinary pages have them
     told = 0
     for line in page.split("\n"):
@@ -256,7 +259,12 @@ def residue(rows: DataFrame, key: str = "entry_id", text: str = "body") -> DataF
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template, ordinary = (np.unpackbits(x).view(bool) for x in sent.value)
         for batch in batches:
-            out = [i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if is_template_page(t, template, ordinary)]
+            out, ids = [], batch.column(0).to_pylist()
+            pages = list(map(core, batch.column(1).to_pylist()))
+            letters = list(map(letters_of, pages))
+            for a, b in slices(letters):
+                parts = template_parts(letters[a:b], template, ordinary)
+                out += [i for i, p, c, m in zip(ids[a:b], pages[a:b], letters[a:b], parts) if is_template_page(p, c, m, ordinary)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
     pages = source.mapInArrow(judge, "id long").distinct()
