@@ -138,11 +138,18 @@ def dealt(counters: np.ndarray, limits: tuple[float, float], keys: np.ndarray, o
     return np.where(n > 1, split, keys[row]), row, part, (part == other).astype(np.int64)
 
 
-def meeting(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
+def decided(shared: DataFrame) -> DataFrame:
+    """Of pairs (`a`, `b`, `shared`, `_need`), added up, those that share as much as they must."""
+    sums = shared.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("_need").alias("_need"))
+    return sums.where("shared >= _need").select("a", "b", "shared")
+
+
+def meeting(rows: DataFrame, held: DataFrame | None = None, final: bool = True) -> DataFrame:
     """Pairs (`a` < `b`, `shared`: units of the keys in common) whose sketches agree, of rows as in `ROWS`.
 
     With `held` (`key`, `k`, `s1`, `s2`), pairs of a row and a held one; else pairs of two rows. A pair counts when it
-    shares as many units as both of its records ask for.
+    shares as many units as both of its records ask for; not `final`, it is given with these (`_need`), so that what it
+    shares by other keys can be added.
     """
     x = rows.toDF("key", "x", "x1", "x2", "mx")
     y = rows.toDF("key", "y", "y1", "y2", "my") if held is None else held.select("key", F.col("k").alias("y"), F.col("s1").alias("y1"), F.col("s2").alias("y2"), F.lit(0).cast("long").alias("my"))
@@ -150,9 +157,9 @@ def meeting(rows: DataFrame, held: DataFrame | None = None) -> DataFrame:
     # records of one part meet under that part's own key only
     once = F.expr("x != y") if held is not None else F.expr(f"x < y and ((mx & 1) = 1 or (mx & {_PART << 1}) != (my & {_PART << 1}))")
     need = F.greatest(F.shiftright("mx", 27), F.shiftright("my", 27))
-    return (
+    sums = (
         x.join(y, "key").where(once).where(apart <= BITS - LEAST_BITS)
         .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .agg(F.sum(F.shiftright("mx", 20).bitwiseAND(F.lit(_UNITS))).alias("shared"), F.max(need).alias("_need"))
-        .where("shared >= _need").select("a", "b", "shared")
     )
+    return sums.where("shared >= _need").select("a", "b", "shared") if final else sums

@@ -7,9 +7,8 @@ persistent chunk-to-record table, whose rows give the size that two records shar
 reaches the threshold, and whose sketches agree, are decided by an exact check of their texts; the chunks of accepted
 texts are appended. Punctuation, which reprints often change throughout, is no part of chunks.
 
-Of a long text not all chunks are indexed but those whose hash falls into a share of all hashes, the same for all texts of
-its length class; the share halves each time the length doubles, and the smaller share is part of the larger one, so two
-texts always have their common chunks of the smaller share in common.
+Every chunk of a text is indexed, whatever the length of the text, so the part that two texts share is counted, not
+estimated.
 
 Frequent chunks: a record leaves out its most frequent chunks as far as they make up less than `LEAST_COVERAGE` of its
 size. A pair that shares more than that still shares a chunk that neither leaves out, because all leave out in one order
@@ -22,6 +21,7 @@ repeat: a later record may be alike to it only.
 
 from __future__ import annotations
 
+import gc
 import json
 from collections.abc import Iterator
 from functools import reduce
@@ -34,21 +34,21 @@ from pyspark.sql import functions as F
 from pagesift.functions.urls import comparable
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, letters, mix, slices
-from pagesift.llm._meet import ROWS, frequencies, frequency, hot_above, meeting, row_batch, sketches
+from pagesift.llm._meet import ROWS, decided, frequencies, frequency, hot_above, meeting, row_batch, sketches
 from pagesift.session import written
 
 WINDOW = 4
 #: Characters between boundaries on average, and the least length of a chunk, within ASCII text and elsewhere.
 AVERAGE_ASCII, AVERAGE_OTHER = 4, 5
 LEAST_ASCII, LEAST_OTHER = 20, 16
-#: Texts of fewer letters have all their chunks indexed; from twice as many on the share halves at each doubling.
-WHOLE_BELOW = 225
-MOST_HALVINGS = 16
 LEAST_COVERAGE = 0.05
 #: Rows that `accepted` checks at once.
 BATCH_ROWS = 5_000_000
+#: Chunks are exchanged in turns, each of a part of all hashes, so that the files of one turn go before the next one.
+TURN_CHUNKS, MOST_TURNS = 2_000_000, 4
 
-_KEYED = "id long, round_no int, page string, k1 long, k2 long, s1 long, s2 long, chunks array<long>"
+_PAGED = "id long, round_no int, page string, k1 long, k2 long"
+_KEYED = "id long, round_no int, page string, k1 long, k2 long, s1 long, s2 long, chunks array<long>, body string"
 
 
 def _prefix_hashes(points: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 
 def chunks_of(texts: list[str]) -> list[np.ndarray]:
-    """Of each bare text its distinct indexed chunks: 64-bit hashes whose low six bits are the length (63 at most)."""
+    """Of each bare text its distinct chunks: 64-bit hashes whose low six bits are the length (63 at most)."""
     points, starts = letters(texts)
     n = len(points)
     if n <= WINDOW:
@@ -80,19 +80,16 @@ def chunks_of(texts: list[str]) -> list[np.ndarray]:
     # a text begins and ends with a boundary
     cut = np.concatenate([cut[within], starts[:-1], starts[1:]])
     owner = np.concatenate([owner[within], *[np.arange(len(texts))] * 2])
-    order = np.lexsort((cut, owner))
+    order = np.argsort((owner << 32) + cut, kind="stable")
     cut, owner = cut[order], owner[order]
     least = np.where(points[np.minimum(cut, n - 1)] < 0x80, LEAST_ASCII, LEAST_OTHER)
     upto = np.searchsorted(cut, cut + least, "left")
     upto = np.where((upto < len(cut)) & (owner[np.minimum(upto, len(cut) - 1)] == owner), upto, -1)
     left, right, owner = cut[upto >= 0], cut[upto[upto >= 0]], owner[upto >= 0]
     h = mix((prefix[right] - prefix[left]) * undo[left])
-    sizes = np.diff(starts)
-    halvings = np.clip(np.floor(np.log2(np.maximum(sizes, 1) / WHOLE_BELOW)) + 1, 0, MOST_HALVINGS).astype(np.int64)
-    kept = (h >> U(40)) & ((U(1) << halvings.astype(U)) - U(1))[owner] == 0
-    left, right, owner, h = left[kept], right[kept], owner[kept], h[kept]
     h = (h & ~U(63)) | np.minimum(right - left, 63).astype(U)
-    order = np.lexsort((h, owner))
+    order = np.argsort(h)
+    order = order[np.argsort(owner[order], kind="stable")]
     owner, h = owner[order], h[order]
     first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, bool)
     owner, h = owner[first], h[first].view(np.int64)
@@ -100,11 +97,21 @@ def chunks_of(texts: list[str]) -> list[np.ndarray]:
     return [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _content_keys(bodies: pa.Array) -> tuple[list[str | None], list[tuple]]:
+    texts = [t if len(t) >= LEAST_CHARS else None for t in map(bare, bodies.to_pylist())]
+    return texts, [content_key(t) if t else (None, None) for t in texts]
+
+
+def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = _content_keys(batch.column(3))[1]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1))], names=["id", "round_no", "page", "k1", "k2"])
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rounds, pages, bodies = (batch.column(i) for i in range(4))
-        texts = [t if len(t) >= LEAST_CHARS else None for t in map(bare, bodies.to_pylist())]
-        keys = [content_key(t) if t else (None, None) for t in texts]
+        texts, keys = _content_keys(bodies)
         present, seen = [], set()
         for i, k in enumerate(keys):  # one of a batch's equal texts is enough
             if texts[i] and k not in seen:
@@ -119,16 +126,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int32)
         none = (None, None)
         yield pa.RecordBatch.from_arrays(
-            [ids, rounds, pages, *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)], *[pa.array([drawn.get(i, none)[j] for i in range(len(texts))], pa.int64()) for j in (0, 1)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))],
-            names=["id", "round_no", "page", "k1", "k2", "s1", "s2", "chunks"],
+            [ids, rounds, pages, *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)], *[pa.array([drawn.get(i, none)[j] for i in range(len(texts))], pa.int64()) for j in (0, 1)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each))), bodies],
+            names=["id", "round_no", "page", "k1", "k2", "s1", "s2", "chunks", "body"],
         )
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """Of each entry its page, content key, sketch and indexed chunks; the texts are read once."""
+def _source(rows: DataFrame) -> DataFrame:
     page = F.nullif(comparable(F.col("url").cast("string")), F.lit(""))
-    source = rows.select(F.col("entry_id").cast("long"), F.col("round_no").cast("int"), page.alias("page"), F.col("body").cast("string"))
-    return source.mapInArrow(_keyed, _KEYED)
+    return rows.select(F.col("entry_id").cast("long"), F.col("round_no").cast("int"), page.alias("page"), F.col("body").cast("string"))
+
+
+def paged(rows: DataFrame) -> DataFrame:
+    """Of each entry its page and content key."""
+    return _source(rows).mapInArrow(_paged, _PAGED)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Of each entry its page, content key, sketch, chunks and body."""
+    return _source(rows).mapInArrow(_keyed, _KEYED)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +151,22 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = list(map(bare, batch.column(1).to_pylist()))
         keep = [i for i, t in enumerate(texts) if len(t) >= LEAST_CHARS]
         some = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column(0), pa.array([content_key(texts[i])[0] for i in keep], pa.int64()), some.column(1)], names=["rep", "k1", "body"])
+        yield pa.RecordBatch.from_arrays([some.column(0), pa.array([content_key(texts[i])[0] for i in keep], pa.int64()), some.column(1)], names=["entry_id", "k1", "body"])
 
 
 def _classes(entries: DataFrame) -> DataFrame:
-    """A row per distinct text: first round, sketch, and an entry that holds it and its chunks."""
-    return entries.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(
-        F.min("round_no").alias("round_no"), F.min(F.when(F.col("s1").isNotNull(), F.col("id"))).alias("rep"), F.max("s1").alias("s1"), F.max("s2").alias("s2")
-    )
+    """A row per distinct text: first round, and an entry that holds it."""
+    return entries.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min("round_no").alias("round_no"), F.min("id").alias("rep"))
+
 
+def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct texts as `keyed` gives them, each once. Bodies move once, by the first half of their content key."""
+    bodies = rows.select(F.col("entry_id").cast("long"), F.col("body").cast("string")).mapInArrow(_hashed, "entry_id long, k1 long, body string").repartition("k1")
+    once = bodies.join(classes, "k1").where("entry_id = rep").select("entry_id", "round_no", F.lit(None).cast("string").alias("url"), "body")
+    return written(keyed(once), "texts")
 
-def _kept(batches: Iterator[pa.RecordBatch], counters: np.ndarray, limits: tuple[float, float] | None) -> Iterator[pa.RecordBatch]:
+
+def _kept(batches: Iterator[pa.RecordBatch], counters: np.ndarray, limits: tuple[float, float] | None, turn: int, turns: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(3)
         keys = column.flatten().to_numpy(zero_copy_only=False)
@@ -154,30 +174,58 @@ def _kept(batches: Iterator[pa.RecordBatch], counters: np.ndarray, limits: tuple
         k, s1, s2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         units = (keys & 63).astype(np.int64)
         whole = np.bincount(owners, units, len(batch))
-        # from the most frequent chunk on, what makes up less than the least coverage is left out
-        order = np.lexsort((keys, -frequency(counters, keys).astype(np.int64), owners))
+        # from the most frequent chunk on, what makes up less than the least coverage is left out; chunks of one frequency
+        # stay in the order that `chunks_of` gives, which is the same for all records
+        often = np.minimum(frequency(counters, keys), U((1 << 32) - 1)).astype(np.int64)
+        order = np.argsort((owners << 32) - often, kind="stable")
         keys, owners, units = keys[order], owners[order], units[order]
         upto = np.cumsum(units)
         start = np.concatenate([[0], upto])[np.searchsorted(owners, np.arange(len(batch)))]
         stay = upto - start[owners] >= LEAST_COVERAGE * whole[owners]
         left_out = np.bincount(owners[~stay], units[~stay], len(batch))
         need = np.maximum(0, np.ceil(LEAST_COVERAGE * whole - left_out)).astype(np.int32)
+        if turns > 1:
+            stay &= (keys >> 40) % turns == turn
         yield row_batch(keys[stay], owners[stay], k, s1, s2, units[stay], need, counters, limits)
 
 
-def _searched(records: DataFrame, split: bool = True) -> DataFrame:
+def _searched(records: DataFrame, split: bool = True, counters: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> DataFrame:
     """The chunks by which records (`k`, `s1`, `s2`, `chunks`) are brought together, as rows of `_meet.ROWS`.
 
     split: deal the records of frequent chunks into parts, where rows meet each other; rows that meet held ones are not.
+    counters: frequencies of the chunks, counted here if not given. turn: only this one of so many parts of all hashes.
     """
-    counters = frequencies(records, "chunks")
+    counters = frequencies(records, "chunks") if counters is None else counters
     sent = records.sparkSession.sparkContext.broadcast((counters, hot_above(counters) if split else None))
-    return records.select("k", "s1", "s2", "chunks").mapInArrow(lambda batches: _kept(batches, *sent.value), ROWS)
+    return records.select("k", "s1", "s2", "chunks").mapInArrow(lambda batches: _kept(batches, *sent.value, turn, turns), ROWS)
+
+
+def _turns(counters: np.ndarray) -> int:
+    return int(min(MOST_TURNS, max(1, -(-int(counters.sum()) // TURN_CHUNKS))))
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that no table needs any more; else they stay until the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _shared(records: DataFrame, counters: np.ndarray, held: DataFrame | None = None) -> DataFrame:
+    """Pairs (`a`, `b`) of records, or of a record and a held one (`key`, `k`, `s1`, `s2`), as `meeting` finds them, with
+    the chunks exchanged in turns; what a pair shares is added up over all turns before it is decided."""
+    turns = _turns(counters)
+    if turns == 1:
+        return meeting(_searched(records, held is None, counters), held).select("a", "b")
+    parts = []
+    for turn in range(turns):
+        part = held if held is None else held.where(F.pmod(F.shiftright("key", 40), F.lit(turns)) == turn)
+        parts.append(written(meeting(_searched(records, held is None, counters, turn, turns), part, final=False), "turn"))
+        _let_go(records.sparkSession)
+    return decided(reduce(DataFrame.union, parts)).select("a", "b")
 
 
-def _records(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct texts with their chunks, each once."""
-    return entries.where(F.size("chunks") > 0).join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("k1").alias("k"), "s1", "s2", "chunks")
+def _records(texts: DataFrame) -> DataFrame:
+    return texts.where(F.size("chunks") > 0).select(F.col("k1").alias("k"), "s1", "s2", "chunks")
 
 
 def repeats(rows: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
@@ -189,9 +237,11 @@ def repeats(rows: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     than 200 characters without header and white space, is alike to none. An entry whose round is null is neither a repeat
     nor history. An empty table gives an empty result.
     """
-    entries = written(keyed(rows.where(F.col("round_no").isNotNull())), "entries")
+    known = rows.where(F.col("round_no").isNotNull())
+    entries = written(paged(known), "entries")
     classes = _classes(entries)
-    pairs = written(meeting(_searched(written(_records(entries, classes), "records"))).select("a", "b"), "shared")
+    records = _records(_texts(known, classes))
+    pairs = written(_shared(records, frequencies(records, "chunks")), "shared")
     alike = checked_pairs(pairs, classes, rows.select(F.col("entry_id").cast("long").alias("id"), F.col("body").cast("string").alias("body")), least)
     return _decided(entries, entries, classes, written(alike, "alike"))
 
@@ -283,9 +333,9 @@ class History:
         tables = [self.spark.read.parquet(p) for p in paths]
         return reduce(DataFrame.union, (t.select(*tables[0].columns) for t in tables))
 
-    def _write(self, folder: str, name: str, df: DataFrame, key: str) -> None:
+    def _write(self, folder: str, name: str, df: DataFrame, key: str, mode: str = "overwrite") -> None:
         df = df.withColumn("bucket", self._bucket(key))
-        df.sortWithinPartitions("bucket", key).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{folder}/{name}")
+        df.sortWithinPartitions("bucket", key).write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{folder}/{name}")
 
     def append(self, batch: DataFrame, least: float = LEAST_SHARE, number: str | None = None) -> DataFrame:
         """Repeats of a batch of one or more rounds, as `repeats` gives them; then the batch becomes history.
@@ -302,21 +352,21 @@ class History:
         done = [m for m in manifests if number == m["batch"] or number in m.get("all", [])]
         if done:
             return self.spark.read.parquet(f"{self.folder}/{folder}/repeats")
-        entries = written(keyed(rows), "entries")
+        entries = written(paged(rows), "entries")
         classes = _classes(entries)
-        records = written(_records(entries, classes), "records")
-        searched = _searched(records)
-        pairs = meeting(searched).select("a", "b")
+        own = _texts(rows, classes)
+        _let_go(self.spark)
+        records = _records(own)
+        counters = frequencies(records, "chunks")
+        pairs = _shared(records, counters)
         chunk_keys = records.select(F.explode("chunks").alias("key"), "k")
         held_chunks = self._read(manifests, "chunks", "key", chunk_keys)
         if held_chunks is not None:
             held_chunks = written(held_chunks.select("key", "k"), "met")
             drawn = self._read(manifests, "records", "k1", held_chunks.select(F.col("k").alias("k1"))).select(F.col("k1").alias("k"), "s1", "s2")
-            pairs = pairs.union(meeting(_searched(records, False), held_chunks.join(drawn, "k")).select("a", "b")).distinct()
+            pairs = pairs.union(_shared(records, counters, held_chunks.join(drawn, "k"))).distinct()
         pairs = written(pairs, "shared")
-        # bodies move once, by the first half of their content key
-        bodies = rows.select("entry_id", "body").mapInArrow(_hashed, "rep long, k1 long, body string").repartition("k1")
-        own = bodies.join(classes.withColumnRenamed("rep", "_rep"), "k1").where("rep = _rep").select("k1", "k2", "round_no", "s1", "s2", "body")
+        own = own.select("k1", "k2", "round_no", "s1", "s2", "body")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("k1")).union(classes.select("k1"))
         old_records = self._read(manifests, "records", "k1", ends)
         if old_records is None:
@@ -339,7 +389,11 @@ class History:
             own = own.join(held, ["k1", "k2"], "left_anti")
             chunk_keys = chunk_keys.join(held.select(F.col("k1").alias("k")), "k", "left_anti")
         self._write(folder, "pages", new_pages, "page")
-        self._write(folder, "chunks", chunk_keys.repartition("key"), "key")
+        turns = min(_turns(counters), self.buckets)
+        for turn in range(turns):  # whole buckets in each turn
+            part = chunk_keys if turns == 1 else chunk_keys.where(self._bucket("key") % turns == turn)
+            self._write(folder, "chunks", part.repartition("key"), "key", "append" if turn else "overwrite")
+            _let_go(self.spark)
         self._write(folder, "records", own, "k1")
         self._commit({"batch": number, "folder": folder, "tables": ["pages", "chunks", "records"]})
         return self.spark.read.parquet(f"{self.folder}/{folder}/repeats")

@@ -275,6 +275,31 @@ def test_regularly_spaced_edits(spark, gap):
     assert len(links - {(r.entry_a, r.entry_b) for r in near_duplicates.alike_entries(df).collect()}) <= 0.01 * len(links)
 
 
+def test_all_chunks_of_long_texts(spark, monkeypatch, tmp_path):
+    """Long texts whose short words stand between marks have few whole chunks in common when they are changed throughout:
+    what they share is counted over all chunks, not over some of them."""
+    import string
+
+    rng = random.Random(1)
+    rows = []
+    for _ in range(60):
+        t = "".join(rng.choice(string.ascii_lowercase) if i % 6 else "," for i in range(rng.randrange(500, 4000)))
+        u = list(t)
+        for j in range(16, len(u), 33):
+            u[j] = "#"
+        n = len(rows)
+        rows += [(n, 1, f"https://a{n}.example", t), (n + 1, 2, f"https://b{n}.example", "".join(u))]
+    df = spark.createDataFrame(rows, "entry_id long, round_no int, url string, body string")
+    want = {r[0] for k, r in enumerate(rows) if k % 2 and share_in_both(rows[k - 1][3], r[3]) >= 0.6}
+    assert len(want) == 60 and {r.entry_id for r in history.repeats(df).collect()} == want
+    monkeypatch.setattr(history, "TURN_CHUNKS", 5000)  # the same in several turns
+    h = history.History(spark, str(tmp_path / "h"), buckets=4)
+    assert h.append(df.where("round_no = 1")).count() == 0 and {r.entry_id for r in h.append(df.where("round_no = 2")).collect()} == want
+    # chunks of a short text are chunks of every long text that begins with it, but for those that its own end cuts off
+    short, long = history.chunks_of([rows[0][3][:200], rows[0][3]])
+    assert len(set(short.tolist()) - set(long.tolist())) <= 8 < len(short)
+
+
 def test_few_shingles_and_common_parts(spark):
     """A text of period 20 with an edit, and reprints of a text that a third of all rows share a part of."""
     rng = random.Random(4)
