@@ -42,7 +42,8 @@ TOP_QUANTILE, TOP_PART = 0.999, 1.5
 DUPLICATE = 3
 #: Words that so many documents of a language have are function words of it; fewer documents than this teach none.
 LEARNED_SHARE, LEARNED_WORDS, LEAST_DOCUMENTS = 0.25, 80, 20
-_PRUNE, _KEPT = 20_000, 2_000
+#: Word counts that a task holds before it hands them on, to be added up with those of all tasks.
+_HELD = 200_000
 
 # Frequent function words.
 FUNCTION_WORDS = {
@@ -195,24 +196,31 @@ def stuffed_share(text: str | None, limits: Limits, more_than: float = -1.0, lab
 
 
 def language_limits(documents: DataFrame, text: str = "text", lang: str = "lang") -> Limits:
-    """What sentences of each language are like, gathered over all rows as histograms and pruned word counts."""
+    """What sentences of each language are like, gathered over all rows as histograms and counts of all words.
+
+    Words as frequent as the last one that is learned are learned too.
+    """
     listed = {*_LATIN, "zh", ""}
 
+    def partial(rows: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["kind", "lang", "what", "n"])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        held: dict[str, Counter] = {}
+        held: Counter = Counter()
         for batch in batches:
             for t, label in zip(batch.column(0).to_pylist(), map(language, batch.column(1).to_pylist())):
                 lines = [x for x in without_header(t).split("\n") if len(x) >= 30 and _ENDS.search(x) and not _ordinary(x) and not _LINKS.search(x)]
                 if label not in listed and lines:
                     words = [w for x in lines for w in _WORDS.findall(x.lower())]
-                    own = held.setdefault(label, Counter())
-                    own.update({("df", w): 1 for w in set(words)})
-                    own.update(("tf", w) for w in words)
-                    own["documents", ""] += 1
-                    own["words", ""] += len(words)
-                    if len(own) > _PRUNE:  # frequent words are far above what is pruned
-                        held[label] = Counter(dict(own.most_common(_KEPT))) | Counter({k: own[k] for k in (("documents", ""), ("words", ""))})
+                    held.update(("df", label, w) for w in set(words))
+                    held.update(("tf", label, w) for w in words)
+                    held["documents", label, ""] += 1
+                    held["words", label, ""] += len(words)
+                    if len(held) > _HELD:
+                        yield partial([(*k, n) for k, n in held.items()])
+                        held.clear()
                     continue
                 for line in lines:
                     found, share, words = _read(line, label)
@@ -220,9 +228,7 @@ def language_limits(documents: DataFrame, text: str = "text", lang: str = "lang"
                         seen["least", found, min(_BINS - 1, int(share * _BINS))] += 1
                         if words:
                             seen["most", found, min(_BINS - 1, int(_top_share(words) * _BINS))] += 1
-        rows = [(kind, found, str(b), n) for (kind, found, b), n in seen.items()] + [(kind, label, w, n) for label, own in held.items() for (kind, w), n in own.items()]
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.int64())], names=["kind", "lang", "what", "n"])
+        yield partial([(kind, found, str(b), n) for (kind, found, b), n in seen.items()] + [(*k, n) for k, n in held.items()])
 
     labels = F.col(lang).cast("string") if lang in documents.columns else F.lit(None).cast("string")
     sums = documents.select(F.col(text).cast("string"), labels).where(F.length(text) > 0).mapInArrow(gather, "kind string, lang string, what string, n long").groupBy("kind", "lang", "what").agg(F.sum("n").alias("n"))
@@ -238,11 +244,11 @@ def language_limits(documents: DataFrame, text: str = "text", lang: str = "lang"
                     out[name] = part * (b + (kind == "most")) / _BINS
                     break
     sizes = {(r["kind"], r["lang"]): r["n"] for r in bins if r["what"] == ""}
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "what"))
+    place = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("n")))
     total = sums.where("kind = 'documents'").select("lang", F.col("n").alias("documents"))
     common = sums.where("kind = 'df'").join(total, "lang").where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("n") >= LEARNED_SHARE * F.col("documents")))
     common = common.withColumn("place", place).where(F.col("place") <= LEARNED_WORDS).select("lang", "what")
-    times = sums.where("kind = 'tf'").join(common, ["lang", "what"]).select("lang", "what", "n").collect()  # at most LEARNED_WORDS a language
+    times = sums.where("kind = 'tf'").join(common, ["lang", "what"]).select("lang", "what", "n").collect()  # LEARNED_WORDS a language, and ties
     for name in {r["lang"] for r in times}:
         own = {r["what"]: r["n"] for r in times if r["lang"] == name}
         limits.words[name] = frozenset(own)

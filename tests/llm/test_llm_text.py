@@ -103,6 +103,27 @@ def test_prose_of_other_languages(spark, corpus):
     assert {r.doc_id for r in link_spam.stuffed(df).collect()} == {3000}
 
 
+def test_learned_words_are_counted_whole(spark, monkeypatch):
+    """A word of three documents in ten is learned however many other words come between; so are all words of one frequency."""
+    import string
+
+    monkeypatch.setattr(link_spam, "_HELD", 20_000, raising=False)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(9))
+    often, seldom, even = [word() for _ in range(12)], [word() for _ in range(5)], [word() for _ in range(100)]
+    rows = []
+    for k in range(40):
+        own = [word() for _ in range(600)] * 8
+        rows.append((k, " ".join(often + seldom * (k % 10 in (2, 5, 8)) + own) + ".", "es"))
+    rows += [(100 + k, " ".join(even) + ".", "it") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    limits = link_spam.language_limits(df)
+    assert limits.words == {"es": frozenset(often + seldom), "it": frozenset(even)}
+    total = sum(len(t.split()) for _, t, lang in rows if lang == "es")
+    assert limits.least["es"] == pytest.approx(link_spam.PART**2 * (40 * len(often) + 12 * len(seldom)) / total)
+    assert limits.least["it"] == pytest.approx(link_spam.PART**2)
+
+
 def test_blanks_and_long_pages(spark, corpus):
     filled = [(i, t + f"\n\n尊敬的{name}，您的订单已经发出。") for (i, t), name in zip(corpus[:60:3], ["{{name}}", "【】", "{{user}}", "（ ）"] * 5)]
     page = "本站正在进行系统维护，给您带来不便敬请谅解，维护期间暂停访问请稍后再来。"
