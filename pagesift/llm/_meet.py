@@ -12,7 +12,7 @@ asked for, which loses such a pair with a probability of 0.0003. Texts alike by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -65,10 +65,14 @@ def sketches(texts: list[str]) -> np.ndarray:
     return np.packbits((mix(filled(low, low == none)) & U(1)).astype(np.uint8), axis=1).view(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _count(batches: Iterator[pa.RecordBatch], keys_of: Callable[[pa.Array], np.ndarray]) -> Iterator[pa.RecordBatch]:
     counters = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        keys = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(U)
+        keys = keys_of(batch.column(0)).view(U)
         counters += np.bincount((mix(keys) & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
     if counters.any():
         parts = counters.astype("<u4").reshape(-1, SLICE)
@@ -87,11 +91,14 @@ def summed(parts: DataFrame, keys: list[str], form: str, added) -> list:
     return parts.withColumn("salt", F.lit(0)).groupBy(*keys).applyInPandas(added, form).collect()
 
 
-def frequencies(rows: DataFrame, column: str) -> np.ndarray:
-    """Counters of all keys in an array column of a table, added up in two steps before they reach the driver (2 MB)."""
+def frequencies(rows: DataFrame, column: str, keys_of: Callable[[pa.Array], np.ndarray] = _listed) -> np.ndarray:
+    """Counters of all keys in an array column of a table, added up in two steps before they reach the driver (2 MB).
+
+    keys_of: gives the keys in a batch of a column that is no array column.
+    """
     form = "slice int, salt int, counts binary"
     out = np.zeros(COUNTERS, np.uint64)
-    for r in summed(rows.select(column).mapInArrow(_count, "slice int, counts binary"), ["slice"], form, _added):
+    for r in summed(rows.select(column).mapInArrow(lambda batches: _count(batches, keys_of), "slice int, counts binary"), ["slice"], form, _added):
         out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], "<u8")
     return out
 

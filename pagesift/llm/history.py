@@ -5,7 +5,8 @@ From every boundary a chunk reaches to the first boundary that is `LEAST_ASCII`
 so chunks overlap, and a text whose letters are changed every 31 characters still has whole ones. Chunk hashes join to a
 persistent chunk-to-record table, whose rows give the size that two records share; pairs whose shared part (coverage)
 reaches the threshold, and whose sketches agree, are decided by an exact check of their texts; the chunks of accepted
-texts are appended. Punctuation, which reprints often change throughout, is no part of chunks.
+texts are appended. Punctuation, which reprints often change throughout, is no part of chunks. Chunks move and are stored
+packed (`_packed`), in arrays of many records.
 
 Every chunk of a text is indexed, whatever the length of the text, so the part that two texts share is counted, not
 estimated.
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from pagesift.functions.urls import comparable
 from pagesift.llm._alike import LEAST_CHARS, LEAST_SHARE, checked_pairs, content_key
 from pagesift.llm._chars import U, bare, letters, mix, slices
-from pagesift.llm._meet import ROWS, decided, frequencies, frequency, hot_above, meeting, row_batch, sketches
-from pagesift.session import written
+from pagesift.llm._meet import ROWS, dealt, decided, frequencies, frequency, hot_above, meeting, row_batch, sketches
+from pagesift.llm._packed import BLOCKS, CHUNK, EXCHANGED, MET_WIDTH, MOST_OF_PART, WIDTH, blocks, bucket_of, chunks_in, exchanged, meeting_parts, packed_column, part_of, parts_for, record_slices, unblocked
+from pagesift.session import scratch, written
 
 WINDOW = 4
 #: Characters between boundaries on average, and the least length of a chunk, within ASCII text and elsewhere.
@@ -47,8 +49,10 @@ BATCH_ROWS = 5_000_000
 #: Chunks are exchanged in turns, each of a part of all hashes, so that the files of one turn go before the next one.
 TURN_CHUNKS, MOST_TURNS = 2_000_000, 4
 
-_PAGED = "id long, round_no int, page string, k1 long, k2 long"
 _KEYED = "id long, round_no int, page string, k1 long, k2 long, s1 long, s2 long, chunks array<long>, body string"
+_ENTRIES = "id long, round_no int, page string, k1 long, k2 long, s1 long, s2 long, chunks binary"
+#: Frequencies from here on count as equal.
+_OFTEN = U((1 << 26) - 1)
 
 
 def _prefix_hashes(points: np.ndarray) -> np.ndarray:
@@ -64,7 +68,10 @@ def _inverse_powers(n: int) -> np.ndarray:
 
 
 def chunks_of(texts: list[str]) -> list[np.ndarray]:
-    """Of each bare text its distinct chunks: 64-bit hashes whose low six bits are the length (63 at most)."""
+    """Of each bare text its distinct chunks: 48-bit hashes whose low six bits are the length (63 at most).
+
+    Chunks that agree by chance bring texts together that the sketches or the exact check part again.
+    """
     points, starts = letters(texts)
     n = len(points)
     if n <= WINDOW:
@@ -80,19 +87,23 @@ def chunks_of(texts: list[str]) -> list[np.ndarray]:
     # a text begins and ends with a boundary
     cut = np.concatenate([cut[within], starts[:-1], starts[1:]])
     owner = np.concatenate([owner[within], *[np.arange(len(texts))] * 2])
-    order = np.argsort((owner << 32) + cut, kind="stable")
-    cut, owner = cut[order], owner[order]
+    place = np.sort((owner << 32) + cut)
+    cut, owner = place & 0xFFFFFFFF, place >> 32
     least = np.where(points[np.minimum(cut, n - 1)] < 0x80, LEAST_ASCII, LEAST_OTHER)
     upto = np.searchsorted(cut, cut + least, "left")
     upto = np.where((upto < len(cut)) & (owner[np.minimum(upto, len(cut) - 1)] == owner), upto, -1)
     left, right, owner = cut[upto >= 0], cut[upto[upto >= 0]], owner[upto >= 0]
     h = mix((prefix[right] - prefix[left]) * undo[left])
-    h = (h & ~U(63)) | np.minimum(right - left, 63).astype(U)
-    order = np.argsort(h)
-    order = order[np.argsort(owner[order], kind="stable")]
-    owner, h = owner[order], h[order]
-    first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, bool)
-    owner, h = owner[first], h[first].view(np.int64)
+    h = (h & CHUNK & ~U(63)) | np.minimum(right - left, 63).astype(U)
+    if len(texts) <= 1 << 16:
+        both = np.sort((owner.astype(U) << U(48)) | h)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        owner, h = (both >> U(48)).astype(np.int64), (both & CHUNK).view(np.int64)
+    else:
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order].view(np.int64)
+        first = np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, bool)
+        owner, h = owner[first], h[first]
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     return [h[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -102,13 +113,16 @@ def _content_keys(bodies: pa.Array) -> tuple[list[str | None], list[tuple]]:
     return texts, [content_key(t) if t else (None, None) for t in texts]
 
 
-def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = _content_keys(batch.column(3))[1]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1))], names=["id", "round_no", "page", "k1", "k2"])
+def _drawn(texts: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Chunks and sketch of each bare text."""
+    chunks, drawn = [], []
+    for a, b in slices(texts):
+        chunks += chunks_of(texts[a:b])
+        drawn += sketches(texts[a:b]).tolist()
+    return chunks, drawn
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], pack: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, rounds, pages, bodies = (batch.column(i) for i in range(4))
         texts, keys = _content_keys(bodies)
@@ -117,18 +131,17 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if texts[i] and k not in seen:
                 seen.add(k)
                 present.append(i)
-        chunks, drawn = {}, {}
-        for a, b in slices([texts[i] for i in present]):
-            some = [texts[i] for i in present[a:b]]
-            chunks |= dict(zip(present[a:b], chunks_of(some)))
-            drawn |= dict(zip(present[a:b], sketches(some).tolist()))
+        chunks, drawn = (dict(zip(present, x)) for x in _drawn([texts[i] for i in present]))
         each = [chunks.get(i, np.empty(0, np.int64)) for i in range(len(texts))]
-        offsets = np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int32)
-        none = (None, None)
-        yield pa.RecordBatch.from_arrays(
-            [ids, rounds, pages, *[pa.array([k[j] for k in keys], pa.int64()) for j in (0, 1)], *[pa.array([drawn.get(i, none)[j] for i in range(len(texts))], pa.int64()) for j in (0, 1)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each))), bodies],
-            names=["id", "round_no", "page", "k1", "k2", "s1", "s2", "chunks", "body"],
-        )
+        drawn = [drawn.get(i, (None, None)) for i in range(len(texts))]
+        columns = [ids, rounds, pages, *(pa.array([x[j] for x in pairs], pa.int64()) for pairs in (keys, drawn) for j in (0, 1))]
+        if pack:
+            columns += [packed_column(each)]
+        else:
+            offsets = np.concatenate([[0], np.cumsum([len(h) for h in each])]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each))), bodies]
+        names = [x.split()[0] for x in (_ENTRIES if pack else _KEYED).split(", ")]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _source(rows: DataFrame) -> DataFrame:
@@ -136,57 +149,55 @@ def _source(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("entry_id").cast("long"), F.col("round_no").cast("int"), page.alias("page"), F.col("body").cast("string"))
 
 
-def paged(rows: DataFrame) -> DataFrame:
-    """Of each entry its page and content key."""
-    return _source(rows).mapInArrow(_paged, _PAGED)
-
-
 def keyed(rows: DataFrame) -> DataFrame:
-    """Of each entry its page, content key, sketch, chunks and body."""
-    return _source(rows).mapInArrow(_keyed, _KEYED)
+    """Of each entry its page, content key, sketch, chunks and body; sketch and chunks of one of a batch's equal texts."""
+    return _source(rows).mapInArrow(lambda batches: _keyed(batches, False), _KEYED)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = list(map(bare, batch.column(1).to_pylist()))
-        keep = [i for i, t in enumerate(texts) if len(t) >= LEAST_CHARS]
-        some = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([some.column(0), pa.array([content_key(texts[i])[0] for i in keep], pa.int64()), some.column(1)], names=["entry_id", "k1", "body"])
+def _entries(rows: DataFrame, path: str) -> DataFrame:
+    """The same as a table at `path`, with the chunks packed and without bodies, which so do not move."""
+    _source(rows).mapInArrow(lambda batches: _keyed(batches, True), _ENTRIES).write.parquet(path)
+    return rows.sparkSession.read.schema(_ENTRIES).parquet(path)
 
 
 def _classes(entries: DataFrame) -> DataFrame:
-    """A row per distinct text: first round, and an entry that holds it."""
-    return entries.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min("round_no").alias("round_no"), F.min("id").alias("rep"))
-
-
-def _texts(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct texts as `keyed` gives them, each once. Bodies move once, by the first half of their content key."""
-    bodies = rows.select(F.col("entry_id").cast("long"), F.col("body").cast("string")).mapInArrow(_hashed, "entry_id long, k1 long, body string").repartition("k1")
-    once = bodies.join(classes, "k1").where("entry_id = rep").select("entry_id", "round_no", F.lit(None).cast("string").alias("url"), "body")
-    return written(keyed(once), "texts")
+    """A row per distinct text: first round, an entry that holds it, and its sketch."""
+    each = entries.where(F.col("k1").isNotNull()).groupBy("k1", "k2")
+    return written(each.agg(F.min("round_no").alias("round_no"), F.min("id").alias("rep"), F.max("s1").alias("s1"), F.max("s2").alias("s2")), "classes")
+
+
+def _sought(keys: np.ndarray, owners: np.ndarray, n: int, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of chunks, whose owners (below n) ascend, those that bring records together: (chunks, owners, units), and of each
+    owner the units that a pair must share."""
+    # from the most frequent chunk on, what makes up less than the least coverage is left out; chunks of one frequency
+    # stay in the order that `chunks_of` gives, which is the same for all records
+    rare = _OFTEN - np.minimum(frequency(counters, keys), _OFTEN)
+    if n <= 1 << 16 and len(keys) <= 1 << 22:
+        order = (np.sort((owners.astype(U) << U(48)) | (rare << U(22)) | np.arange(len(keys), dtype=U)) & U((1 << 22) - 1)).astype(np.int64)
+    else:
+        order = np.argsort((owners << 26) + rare.astype(np.int64), kind="stable")
+    keys = keys[order]  # the owners are in order already
+    units = (keys & 63).astype(np.int64)
+    whole = np.bincount(owners, units, n)
+    upto = np.cumsum(units)
+    start = np.concatenate([[0], upto])[np.searchsorted(owners, np.arange(n))]
+    stay = upto - start[owners] >= LEAST_COVERAGE * whole[owners]
+    left_out = np.bincount(owners[~stay], units[~stay], n)
+    need = np.maximum(0, np.ceil(LEAST_COVERAGE * whole - left_out)).astype(np.int32)
+    return keys[stay], owners[stay], units[stay], need
+
+
+def _in_turn(keys: np.ndarray, turn: int, turns: int) -> np.ndarray:
+    return (keys >> 40) % turns == turn
 
 
 def _kept(batches: Iterator[pa.RecordBatch], counters: np.ndarray, limits: tuple[float, float] | None, turn: int, turns: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        column = batch.column(3)
-        keys = column.flatten().to_numpy(zero_copy_only=False)
-        owners = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
+        keys, counts = chunks_in(batch.column(3))
         k, s1, s2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        units = (keys & 63).astype(np.int64)
-        whole = np.bincount(owners, units, len(batch))
-        # from the most frequent chunk on, what makes up less than the least coverage is left out; chunks of one frequency
-        # stay in the order that `chunks_of` gives, which is the same for all records
-        often = np.minimum(frequency(counters, keys), U((1 << 32) - 1)).astype(np.int64)
-        order = np.argsort((owners << 32) - often, kind="stable")
-        keys, owners, units = keys[order], owners[order], units[order]
-        upto = np.cumsum(units)
-        start = np.concatenate([[0], upto])[np.searchsorted(owners, np.arange(len(batch)))]
-        stay = upto - start[owners] >= LEAST_COVERAGE * whole[owners]
-        left_out = np.bincount(owners[~stay], units[~stay], len(batch))
-        need = np.maximum(0, np.ceil(LEAST_COVERAGE * whole - left_out)).astype(np.int32)
-        if turns > 1:
-            stay &= (keys >> 40) % turns == turn
-        yield row_batch(keys[stay], owners[stay], k, s1, s2, units[stay], need, counters, limits)
+        keys, owners, units, need = _sought(keys, np.repeat(np.arange(len(batch)), counts), len(batch), counters)
+        now = _in_turn(keys, turn, turns)
+        yield row_batch(keys[now], owners[now], k, s1, s2, units[now], need, counters, limits)
 
 
 def _searched(records: DataFrame, split: bool = True, counters: np.ndarray | None = None, turn: int = 0, turns: int = 1) -> DataFrame:
@@ -195,11 +206,57 @@ def _searched(records: DataFrame, split: bool = True, counters: np.ndarray | Non
     split: deal the records of frequent chunks into parts, where rows meet each other; rows that meet held ones are not.
     counters: frequencies of the chunks, counted here if not given. turn: only this one of so many parts of all hashes.
     """
-    counters = frequencies(records, "chunks") if counters is None else counters
+    counters = _frequencies(records) if counters is None else counters
     sent = records.sparkSession.sparkContext.broadcast((counters, hot_above(counters) if split else None))
     return records.select("k", "s1", "s2", "chunks").mapInArrow(lambda batches: _kept(batches, *sent.value, turn, turns), ROWS)
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch], counters: np.ndarray, limits: tuple[float, float], turn: int, turns: int, parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every, counts = chunks_in(batch.column(3))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        k, s1, s2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        for a, b in record_slices(counts):
+            keys, owners, _, need = _sought(every[ends[a] : ends[b]], np.repeat(np.arange(b - a), counts[a:b]), b - a, counters)
+            now = _in_turn(keys, turn, turns)
+            keys, owners = keys[now], owners[now]
+            split, row, part, same = dealt(counters, limits, keys, owners, k[a:b])
+            # a chunk that is dealt keeps its length
+            split = np.where(split == keys[row], split, (split & int(CHUNK) & ~63) | (keys[row] & 63))
+            records = np.column_stack([k[a:b], s1[a:b], s2[a:b], need])
+            yield exchanged(split, owners[row], records, part_of(split, parts), MET_WIDTH, None if same.all() else (part << 1) | same)
+
+
+def _indexed_rows(batches: Iterator[pa.RecordBatch], counters: np.ndarray, buckets: int, turn: int, turns: int, parts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every, counts = chunks_in(batch.column(1))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        k = batch.column(0).to_numpy(zero_copy_only=False)
+        for a, b in record_slices(counts):
+            keys, owners = every[ends[a] : ends[b]], np.repeat(np.arange(b - a), counts[a:b])
+            bucket = bucket_of(keys, buckets)
+            if turns > 1:  # whole buckets in each turn
+                now = bucket % turns == turn
+                keys, owners, bucket = keys[now], owners[now], bucket[now]
+            # some buckets make a part, or some parts a bucket
+            group = max(1, buckets // (turns * parts))
+            within = max(1, -(-turns * parts // buckets))
+            part = bucket // (turns * group) * within + part_of(keys, within)
+            # records of a chunk that alone would fill a part are dealt over several
+            wide = np.maximum(U(1), frequency(counters, keys) // U(MOST_OF_PART))
+            part += buckets * within * (mix(k[a:b].view(U))[owners] % wide).astype(np.int64)
+            yield exchanged(keys, owners, k[a:b, None], part, WIDTH)
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(chunks_in(batch.column(0))[0])], names=["key"])
+
+
+def _frequencies(records: DataFrame) -> np.ndarray:
+    return frequencies(records, "chunks", lambda column: chunks_in(column)[0])
+
+
 def _turns(counters: np.ndarray) -> int:
     return int(min(MOST_TURNS, max(1, -(-int(counters.sum()) // TURN_CHUNKS))))
 
@@ -210,22 +267,33 @@ def _let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _shared(records: DataFrame, counters: np.ndarray, held: DataFrame | None = None) -> DataFrame:
     """Pairs (`a`, `b`) of records, or of a record and a held one (`key`, `k`, `s1`, `s2`), as `meeting` finds them, with
     the chunks exchanged in turns; what a pair shares is added up over all turns before it is decided."""
-    turns = _turns(counters)
-    if turns == 1:
-        return meeting(_searched(records, held is None, counters), held).select("a", "b")
-    parts = []
+    turns, parts = _turns(counters), []
+    many = parts_for(int(counters.sum()) // turns)
+    sent = records.sparkSession.sparkContext.broadcast((counters, hot_above(counters)))
     for turn in range(turns):
-        part = held if held is None else held.where(F.pmod(F.shiftright("key", 40), F.lit(turns)) == turn)
-        parts.append(written(meeting(_searched(records, held is None, counters, turn, turns), part, final=False), "turn"))
-        _let_go(records.sparkSession)
+        if held is None:
+            rows = records.select("k", "s1", "s2", "chunks").mapInArrow(lambda batches, turn=turn: _packed_rows(batches, *sent.value, turn, turns, many), EXCHANGED)
+            found = meeting_parts(rows)
+        else:
+            part = held.where(F.pmod(F.shiftright("key", 40), F.lit(turns)) == turn)
+            found = meeting(_searched(records, False, counters, turn, turns), part, final=False)
+        parts.append(written(found, "turn") if turns > 1 else found)
+        if turns > 1:
+            rows = found = None  # no table needs the files of this turn any more
+            _let_go(records.sparkSession)
     return decided(reduce(DataFrame.union, parts)).select("a", "b")
 
 
-def _records(texts: DataFrame) -> DataFrame:
-    return texts.where(F.size("chunks") > 0).select(F.col("k1").alias("k"), "s1", "s2", "chunks")
+def _records(entries: DataFrame) -> DataFrame:
+    return entries.where(F.length("chunks") > 0).select(F.col("k1").alias("k"), "s1", "s2", "chunks")
 
 
 def repeats(rows: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
@@ -238,10 +306,10 @@ def repeats(rows: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
     nor history. An empty table gives an empty result.
     """
     known = rows.where(F.col("round_no").isNotNull())
-    entries = written(paged(known), "entries")
+    entries = _entries(known, scratch(rows.sparkSession, "entries"))
     classes = _classes(entries)
-    records = _records(_texts(known, classes))
-    pairs = written(_shared(records, frequencies(records, "chunks")), "shared")
+    records = _records(entries)
+    pairs = written(_shared(records, _frequencies(records)), "shared")
     alike = checked_pairs(pairs, classes, rows.select(F.col("entry_id").cast("long").alias("id"), F.col("body").cast("string").alias("body")), least)
     return _decided(entries, entries, classes, written(alike, "alike"))
 
@@ -269,7 +337,7 @@ class History:
     """What was delivered so far, as tables in a shared folder to which each batch is appended.
 
     Every batch has a folder of its own with `pages` (page, first round), `records` (content key, first round, sketch,
-    text), `chunks` (chunk-to-record) and `repeats` (its result), split by hash into `buckets` and sorted. A batch counts
+    text), `chunks` (chunk-to-record, in blocks) and `repeats` (its result), split by hash into `buckets` and sorted. A batch counts
     once its manifest is there, which is written last and renamed into place: a batch that broke off is written anew, and a
     batch that is appended again gives its stored result. `compact` makes one folder of all.
 
@@ -323,19 +391,23 @@ class History:
         paths = [f"{self.folder}/{m['folder']}/{name}" for m in manifests if name in m["tables"]]
         if not paths:
             return None
-        keys = written(wanted.select(key, self._bucket(key).alias("bucket")).distinct(), "wanted")
+        chunks = name == "chunks"
+        bucket = F.pmod(F.shiftright(key, 6), F.lit(self.buckets)).cast("int") if chunks else self._bucket(key)  # as `_indexed_rows` has it
+        keys = written(wanted.select(key, bucket.alias("bucket")).distinct(), "wanted")
         buckets = [r[0] for r in keys.select("bucket").distinct().collect()]  # no more than `buckets`
-        held = self._table(paths)
-        return held.where(F.col("bucket").isin(buckets)).join(keys.select(key), key, "left_semi")
+        held = self._table(paths, BLOCKS if chunks else None).where(F.col("bucket").isin(buckets))
+        return (unblocked(held) if chunks else held).join(keys.select(key), key, "left_semi")
 
-    def _table(self, paths: list[str]) -> DataFrame:
+    def _table(self, paths: list[str], form: str | None = None) -> DataFrame:
         # each batch is a table of its own, with its buckets
-        tables = [self.spark.read.parquet(p) for p in paths]
+        tables = [(self.spark.read.schema(form) if form else self.spark.read).parquet(p) for p in paths]
         return reduce(DataFrame.union, (t.select(*tables[0].columns) for t in tables))
 
-    def _write(self, folder: str, name: str, df: DataFrame, key: str, mode: str = "overwrite") -> None:
-        df = df.withColumn("bucket", self._bucket(key))
-        df.sortWithinPartitions("bucket", key).write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{folder}/{name}")
+    def _write(self, folder: str, name: str, df: DataFrame, key: str) -> None:
+        self._write_buckets(folder, name, df.withColumn("bucket", self._bucket(key)).sortWithinPartitions("bucket", key))
+
+    def _write_buckets(self, folder: str, name: str, df: DataFrame, mode: str = "overwrite") -> None:
+        df.write.mode(mode).option("compression", "zstd").option("parquet.enable.dictionary", "false").partitionBy("bucket").parquet(f"{self.folder}/{folder}/{name}")
 
     def append(self, batch: DataFrame, least: float = LEAST_SHARE, number: str | None = None) -> DataFrame:
         """Repeats of a batch of one or more rounds, as `repeats` gives them; then the batch becomes history.
@@ -352,21 +424,19 @@ class History:
         done = [m for m in manifests if number == m["batch"] or number in m.get("all", [])]
         if done:
             return self.spark.read.parquet(f"{self.folder}/{folder}/repeats")
-        entries = written(paged(rows), "entries")
+        place = scratch(self.spark, "entries")
+        entries = _entries(rows, place)
         classes = _classes(entries)
-        own = _texts(rows, classes)
-        _let_go(self.spark)
-        records = _records(own)
-        counters = frequencies(records, "chunks")
+        records = _records(entries)
+        counters = _frequencies(records)
         pairs = _shared(records, counters)
-        chunk_keys = records.select(F.explode("chunks").alias("key"), "k")
-        held_chunks = self._read(manifests, "chunks", "key", chunk_keys)
+        held_chunks = self._read(manifests, "chunks", "key", records.select("chunks").mapInArrow(_chunk_rows, "key long"))
         if held_chunks is not None:
             held_chunks = written(held_chunks.select("key", "k"), "met")
             drawn = self._read(manifests, "records", "k1", held_chunks.select(F.col("k").alias("k1"))).select(F.col("k1").alias("k"), "s1", "s2")
             pairs = pairs.union(_shared(records, counters, held_chunks.join(drawn, "k"))).distinct()
         pairs = written(pairs, "shared")
-        own = own.select("k1", "k2", "round_no", "s1", "s2", "body")
+        own = classes.join(rows.select(F.col("entry_id").alias("rep"), "body"), "rep").drop("rep")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("k1")).union(classes.select("k1"))
         old_records = self._read(manifests, "records", "k1", ends)
         if old_records is None:
@@ -376,6 +446,7 @@ class History:
             known = written(known.groupBy("k1", "k2").agg(F.min("round_no").alias("round_no"), F.first("body").alias("body")), "known").withColumn("rep", F.concat_ws("/", "k1", "k2"))
             texts = known.select(F.col("rep").alias("id"), "body")
         alike = written(checked_pairs(pairs, known.select("k1", "k2", "rep"), texts, least), "alike")
+        _let_go(self.spark)
         old_pages = self._read(manifests, "pages", "page", entries.where(F.col("page").isNotNull()))
         pages_of = entries.select("page", "round_no")
         if old_pages is not None:
@@ -387,13 +458,16 @@ class History:
         if old_records is not None:
             held = written(old_records.select("k1", "k2").distinct(), "held")
             own = own.join(held, ["k1", "k2"], "left_anti")
-            chunk_keys = chunk_keys.join(held.select(F.col("k1").alias("k")), "k", "left_anti")
+            records = records.join(held.select(F.col("k1").alias("k")), "k", "left_anti")
         self._write(folder, "pages", new_pages, "page")
-        turns = min(_turns(counters), self.buckets)
-        for turn in range(turns):  # whole buckets in each turn
-            part = chunk_keys if turns == 1 else chunk_keys.where(self._bucket("key") % turns == turn)
-            self._write(folder, "chunks", part.repartition("key"), "key", "append" if turn else "overwrite")
+        buckets, turns = self.buckets, min(_turns(counters), self.buckets)
+        parts, sent = parts_for(int(counters.sum()) // turns), self.spark.sparkContext.broadcast(counters)
+        for turn in range(turns):
+            part = records.select("k", "chunks").mapInArrow(lambda batches, turn=turn: _indexed_rows(batches, sent.value, buckets, turn, turns, parts), EXCHANGED)
+            self._write_buckets(folder, "chunks", blocks(part, self.buckets), "append" if turn else "overwrite")
+            part = None
             _let_go(self.spark)
+        _drop(self.spark, place)  # the chunks are in the history, and the rest is not read again
         self._write(folder, "records", own, "k1")
         self._commit({"batch": number, "folder": folder, "tables": ["pages", "chunks", "records"]})
         return self.spark.read.parquet(f"{self.folder}/{folder}/repeats")
@@ -423,9 +497,12 @@ class History:
             return
         number = f"compact-{len(manifests)}-{manifests[-1]['batch']}"
         folder = f"batch={number}"
-        for name, key in (("pages", "page"), ("chunks", "key"), ("records", "k1")):
+        for name, key in (("pages", "page"), ("chunks", None), ("records", "k1")):
             paths = [f"{self.folder}/{m['folder']}/{name}" for m in manifests]
-            self._write(folder, name, self._table(paths).drop("bucket"), key)
+            if name == "chunks":  # blocks stay as they are, those of a bucket in one place
+                self._write_buckets(folder, name, self._table(paths, BLOCKS).repartition("bucket"))
+            else:
+                self._write(folder, name, self._table(paths).drop("bucket"), key)
         every = [b for m in manifests for b in m.get("all", [m["batch"]])]
         self._commit({"batch": number, "folder": folder, "tables": ["pages", "chunks", "records"], "replaces": [m["batch"] for m in manifests], "all": every})
         for m in manifests:

@@ -300,6 +300,68 @@ def test_all_chunks_of_long_texts(spark, monkeypatch, tmp_path):
     assert len(set(short.tolist()) - set(long.tolist())) <= 8 < len(short)
 
 
+def test_packed_chunks(spark, monkeypatch, tmp_path):
+    """Packed chunks bring the same records together as rows of chunks do, and copies add none."""
+    rng = random.Random(12)
+    bases = [article(rng) for _ in range(30)]
+    rows = [(i, i % 7, f"https://p{i}.example", edited(rng, bases[i % 30], i // 30 * 5)) for i in range(120)]
+    copies = [(1000 + i, 8, None, rows[i][3] + "\n") for i in range(20)]
+    form = "entry_id long, round_no int, url string, body string"
+    df = spark.createDataFrame(rows, form)
+    h = history.History(spark, str(tmp_path / "h"), buckets=2)
+    got = h.append(spark.createDataFrame(rows + copies, form).repartition(4))
+    assert {r.entry_id for r in got.collect()} == repeats_of(rows + copies)
+    n = sum(map(len, history.chunks_of(sorted({bare(r[3]) for r in rows}))))
+    assert n > 8000
+    from pagesift.llm import _packed
+
+    stored = _packed.unblocked(h._table([f"{tmp_path}/h/{h._manifests()[0]['folder']}/chunks"], _packed.BLOCKS))
+    assert stored.count() == stored.distinct().count() == n
+    records = written(history.keyed(df.coalesce(1)).where(F.size("chunks") > 0).select(F.col("k1").alias("k"), "s1", "s2", "chunks"), "records")
+    want = {(r.a, r.b) for r in _meet.meeting(history._searched(records)).collect()}
+    counters = history._frequencies(records)
+    for part_chunks, turn_chunks, often in ((10**6, 10**6, 1000.0), (900, 2500, 1000.0), (900, 2500, 3.0)):
+        monkeypatch.setattr(_packed, "PART_CHUNKS", part_chunks)
+        monkeypatch.setattr(history, "TURN_CHUNKS", turn_chunks)
+        monkeypatch.setattr(history, "hot_above", lambda counters, often=often: (0.0, often))
+        assert len(want) > 60 and {(r.a, r.b) for r in history._shared(records, counters).collect()} == want
+
+
+def test_bytes_a_chunk(spark, tmp_path):
+    """The chunk-to-record table takes few bytes a chunk."""
+    rng = random.Random(12)
+    rows = [(i, i % 7, None, article(rng)) for i in range(1500)]
+    history.History(spark, str(tmp_path / "h"), buckets=2).append(spark.createDataFrame(rows, "entry_id long, round_no int, url string, body string"))
+    n = sum(map(len, history.chunks_of([bare(r[3]) for r in rows])))
+    assert n > 100_000 and sum(f.stat().st_size for f in (tmp_path / "h").rglob("chunks/**/*.parquet")) < 8 * n
+
+
+def test_long_runs(monkeypatch):
+    """Runs of many records are compared in blocks, others by their distance; both find each pair once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pagesift.llm import _packed
+
+    rng = np.random.default_rng(3)
+    chunks = np.concatenate([(np.sort(rng.choice(30, 12, replace=False)) + 1 << 6) + 20 for _ in range(40)])
+    owners = np.repeat(np.arange(40), 12)
+    sketch = np.where(rng.random(40) < 0.5, -1, 0)
+    records = np.column_stack([rng.permutation(40) - 20, sketch, sketch, np.arange(40)])
+    table = pa.Table.from_batches([_packed.exchanged(chunks, owners, records, np.zeros(len(chunks), np.int64), _packed.MET_WIDTH)])
+    sets = [set(chunks[owners == i].tolist()) for i in range(40)]
+    want = set()
+    for x in range(40):
+        for y in range(40):
+            if records[x, 0] < records[y, 0] and sketch[x] == sketch[y] and sets[x] & sets[y]:
+                want.add((int(records[x, 0]), int(records[y, 0]), 20 * len(sets[x] & sets[y]), max(x, y)))
+    for long, block, most in ((128, 1 << 20, 10**6), (3, 50, 100), (0, 1 << 20, 10**6)):
+        for name, value in (("LONG_RUN", long), ("BLOCK_PAIRS", block), ("MOST_FOUND", most)):
+            monkeypatch.setattr(_packed, name, value)
+        got = list(zip(*(c.to_pylist() for c in _packed.met(table).columns)))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_few_shingles_and_common_parts(spark):
     """A text of period 20 with an edit, and reprints of a text that a third of all rows share a part of."""
     rng = random.Random(4)
