@@ -2,16 +2,18 @@
 
 A gram is the number of its three code points, 21 bits each, so grams are told apart exactly. `Windows` has the slices of S3
 and the head of S9 of texts that `similarity.plain` made; `Index` finds the windows that are alike to others, with prefix
-filtering over the rarest grams and an exact count for each pair that passes.
+filtering over the rarest grams and an exact count for each pair that passes. `Hasher` makes the simhashes of S5.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 
-from pagesift.functions.similarity import SLICE, SLICES
+from pagesift.functions.similarity import HASHED, SLICE, SLICES
 
 U = np.uint64
 #: Marks grams of heads, which meet heads only; and what fills up rows of grams.
@@ -20,6 +22,8 @@ HEAD, NONE = U(1 << 63), U((1 << 64) - 1)
 TOGETHER, FIRST_LOOK = 300_000, 22
 #: Marks of windows for grams, and pairs, that are held at a time.
 MARKS, HELD = 16_000_000, 2_000_000
+#: Grams whose md5 a task remembers.
+REMEMBERED = 1_000_000
 
 
 def text_slices(texts: list[str], most: int = TOGETHER) -> Iterator[tuple[int, int]]:
@@ -192,3 +196,40 @@ def contains_some(index: Index, texts: list[str], limit: int) -> np.ndarray:
         for _, j, share in index.pairs(b):
             out[start + b.owner[j[share >= 1.0]]] = True
     return out
+
+
+class Hasher:
+    """Simhashes as of `similarity.simhash`, of texts that `similarity.plain` made; md5 is taken once for each gram."""
+
+    def __init__(self):
+        self.md5: dict[int, int] = {}
+
+    def _md5(self, grams: np.ndarray) -> np.ndarray:
+        if len(self.md5) > REMEMBERED:
+            self.md5.clear()
+        out = np.empty(len(grams), U)
+        for i, g in enumerate(grams.tolist()):
+            if (h := self.md5.get(g)) is None:
+                text = "".join(chr((g >> shift & 0x1FFFFF) - 1) for shift in (42, 21, 0))
+                h = self.md5[g] = int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "big")
+            out[i] = h
+        return out
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        out = [np.empty(0, np.int64)]
+        for start, stop in text_slices(texts):
+            points, starts = code_points([t[:HASHED] for t in texts[start:stop]])
+            count = np.maximum(np.diff(starts) - 2, 0)
+            runs = points[:-2] << U(42) | points[1:-1] << U(21) | points[2:]
+            ids, grams = pd.factorize(runs[expanded(starts[:-1], count)])
+            hashes, some = self._md5(grams), np.flatnonzero(count)
+            value, first = np.zeros(len(count), U), (np.cumsum(count) - count)[some]
+            # four bits are counted at once, 16 bits wide each: a text has fewer than 2^16 grams
+            for b in range(0, 64, 4) if len(some) else ():
+                wide = sum((hashes >> U(b + j) & U(1)) << U(16 * j) for j in range(4))
+                ones = np.add.reduceat(wide[ids], first)
+                for j in range(4):
+                    more = 2 * (ones >> U(16 * j) & U(0xFFFF)).astype(np.int64) > count[some]
+                    value[some] |= more.astype(U) << U(b + j)
+            out.append(value.view(np.int64))
+        return np.concatenate(out)

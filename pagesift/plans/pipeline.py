@@ -50,10 +50,9 @@ def search_plan(items: DataFrame, batches: DataFrame, candidates: DataFrame, led
     covered = marked.join(ranking.coverage(marked, batches), ["batch_id", "pos"])
     ranked = written(covered.withColumn("rank_score", ranking.rank_score(F.col("score"), F.col("authority"), F.col("coverage"), F.col("weak_core"))), "ranked")
     light = ranking.zero_coverage_gate(ranked.drop("text"), config.gate_least_items, config.gate_least_kept).drop("rank").join(ranked.select("batch_id", "pos", "text"), ["batch_id", "pos"])
-    # mirrors of delivered bodies under new addresses; a body that stands in many entries is compared once
-    bodies = ledger.where("body != ''").select(F.md5("body").alias("entry_id"), "body").dropDuplicates(["entry_id"])
+    # mirrors of delivered bodies under new addresses
     light = written(light, "gated")
-    mirrors = dedup.known_bodies(light.select("item_id", "text"), bodies, config.similar, config.hamming, config.sample_chars)
+    mirrors = dedup.known_bodies(light.select("item_id", "text"), ledger.select("body"), config.similar, config.hamming, config.sample_chars)
     light = written(light.join(mirrors.select("item_id"), "item_id", "left_anti"), "unseen")
     clusters = dedup.cluster_batch(light.select("batch_id", "pos", "text"), config.similar, config.hamming)
     kept = light.join(clusters.where("keep").select("batch_id", "pos"), ["batch_id", "pos"])

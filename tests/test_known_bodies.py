@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from pagesift.functions import similarity
 from pagesift.functions.windows import Index, Windows, largest
 from pagesift.operators import dedup
 
@@ -92,3 +93,23 @@ def test_bodies_do_not_move(spark):
     ledger = spark.createDataFrame(list(enumerate(texts[:600])), "entry_id long, body string")
     assert dedup.known_bodies(items, ledger).count() > 50
     assert shuffled(spark) - before < size / 2
+
+
+def test_hashes_are_those_of_simhash(spark):
+    texts = bodies(150, 11, 6000)
+    rows = spark.createDataFrame([(i, f"k{i}", t) for i, t in enumerate(texts)], "id long, name string, text string")
+    want = {(r.id, r.name): r.simhash for r in similarity.simhash(rows, ["id", "name"], "text").collect() if r.simhash}
+    got = dedup._hashes(rows, "text", "id", "name").collect()
+    assert {(r.id, r.name): r.simhash for r in got} == want and len(got) == len(want) > 100
+
+
+def test_hashes_of_bodies_without_moving_their_grams(spark):
+    r = random.Random(2)
+    body = ["".join(r.sample("一二三四五六七八九十百千万亿零壹贰叁肆", 19)) for _ in range(40)]
+    # the same sentences in another order, a few characters off: alike by simhash, as a limit of 1 leaves grams out
+    items = [(1, "".join(body[::-1])), (2, "".join(body)), (3, "完全无关的另一篇文章，讲的是港口扩建。" * 5)]
+    ledger = ["".join(body), *[t for t in bodies(600, 8) if t]]
+    before, size = shuffled(spark), sum(len(t.encode()) for t in ledger)
+    found = dedup.known_bodies(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(list(enumerate(ledger)), "entry_id long, body string"), similar=1.0, bits=6)
+    assert {(r.item_id, r.how) for r in found.collect()} == {(1, "simhash"), (2, "simhash")}
+    assert shuffled(spark) - before < size / 2
